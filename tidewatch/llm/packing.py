@@ -64,7 +64,7 @@ class WordIds:
         except KeyError:
             if len(self.known) > self.KEPT:
                 self.known.clear()
-            new = list(set(words) - self.known.keys())
+            new = [w for w in set(words) if w not in self.known]
             for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 self.known[word] = np.array(found.ids, "<u4").tobytes()
             return b"".join(map(self.known.__getitem__, words))
