@@ -11,6 +11,7 @@ place; a null doc_id is kept as an id of its own; columns other than the id and
 
 from __future__ import annotations
 
+import functools
 import heapq
 import zlib
 from bisect import bisect_left, insort
@@ -35,39 +36,61 @@ def vocabulary() -> str:
 class WordIds:
     """Ids of whole texts under a tokenizer that lowercases, splits on words and drops white space.
 
-    Texts of Latin letters, digits and punctuation are split here by the tokenizer's own pattern, and each distinct word is
-    encoded once by the tokenizer; for every other text (other scripts, control characters, special tokens) the tokenizer encodes
-    the text itself. Both ways give the same ids, as a word's ids do not depend on its neighbours.
+    Texts of Latin letters, digits and punctuation are split at white space here; each distinct run is split by the tokenizer's own
+    pattern, and each distinct word is encoded by the tokenizer once. For every other text (other scripts, control characters,
+    special tokens) the tokenizer encodes the text itself. Both ways give the same ids, as a word's ids do not depend on its
+    neighbours. What is kept is bounded by KEPT entries and starts anew beyond.
     """
 
     WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-    OTHER = "[^\t\n\r\x20-\x7e\xa0-įı-ňŊ-ž]"
+    OTHER = "[^\t\n\r\x20-\x7e\xa1-įı-ňŊ-ž]"
     KEPT = 400_000
 
     def __init__(self, path: str):
         import os
+        import re
 
         import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.other, self.known = regex.compile(self.WORDS).findall, regex.compile(self.OTHER).search, {}
+        self.split, self.other = regex.compile(self.WORDS).findall, re.compile(self.OTHER).search
+        self.runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+
+    def _learn(self, runs: list[str]) -> None:
+        parts = {r: self.split(r) for r in runs}
+        new = list(dict.fromkeys(w for words in parts.values() for w in words if w not in self.words))
+        if new:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            raw, stops = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            self.words.update(zip(new, (raw[i:j] for i, j in zip([0, *stops], stops, strict=False)), strict=True))
+        for run, words in parts.items():
+            self.runs[run] = b"".join(map(self.words.__getitem__, words))
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if "<|" in text or self.other(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = self.words(text.lower())
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > self.KEPT:
-                self.known.clear()
-            new = [w for w in set(words) if w not in self.known]
-            for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-            return b"".join(map(self.known.__getitem__, words))
+        runs = text.lower().split()
+        new = [r for r in set(runs) if r not in self.runs]
+        if new:
+            for kept in (self.runs, self.words):
+                if len(kept) > self.KEPT:
+                    kept.clear()
+                    new = list(set(runs))
+            self._learn(new)
+        return b"".join(map(self.runs.__getitem__, runs))
+
+
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, which keeps its words from task to task."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
@@ -77,7 +100,7 @@ def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKEN
     path, end = path or vocabulary(), np.array([END_ID], "<u4").tobytes()
 
     def encode(batches: Iterator) -> Iterator:
-        ids_of = WordIds(path)
+        ids_of = word_ids(path)
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
