@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tidewatch.llm import licenses, quality_classifier
 
 
@@ -28,7 +30,7 @@ def test_classifier(spark, documents):
 def test_labels_of_held_out_rows_are_not_read(spark, documents):
     rows = [(i, f"good words here {i} " * 20 if i % 2 else f"### $$$ {i} " * 20) for i in range(200)]
     one = [(i, i % 2, 0) for i in range(200)]
-    held = {r.doc_id for r in documents(rows).select("doc_id", quality_classifier.held_out(documents(rows).doc_id).alias("h")).where("h").collect()}
+    held = {r.doc_id for r in documents(rows).select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("h")).where("h").collect()}
     flipped = [(i, 1 - q if i in held else q, t) for i, q, t in one]
     a, b = (sorted((r.doc_id, r.score) for r in quality_classifier.score(documents(rows), spark.createDataFrame(x, "doc_id long, quality int, toxic int")).collect()) for x in (one, flipped))
     assert a == b
@@ -58,7 +60,8 @@ def test_scan(spark, documents):
     want = []
     for doc, text in rows:
         text = text or ""
-        units = [("text", text)] + [("paragraph", p) for p in (x if len(x := re.split(r"\n\s*\n", text)) > 1 else [])] + [("line", s) for s in (text.split("\n") if "\n" in text else [])]
+        blocks, lines = re.split(r"\n\s*\n", text), text.split("\n")
+        units = [("text", text)] + [("paragraph", p) for p in blocks if len(blocks) > 1] + [("line", s) for s in lines if len(lines) > 1]
         found = {}
         for scope, unit in units:
             if (n := normal(unit)) and (name := digest.get(hashlib.sha256(n.encode()).hexdigest())):

@@ -129,6 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[tuple
     rest = differences(taken.where("NOT fits").select("label", "text"), pair, "label int").collect()
     if len({r.label for r in rest}) < 2:
         rest = differences(taken.select("label", "text"), pair, "label int").collect()
+    if len({r.label for r in rest}) < 2:  # documents of one kind only
+        return None
     y = np.array([r.label for r in rest], float)
     x = np.array([r.difference for r in rest])
     share = {k: counts[k] / max(1, (y == k).sum()) for k in (0, 1)}
