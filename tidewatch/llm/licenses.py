@@ -3,7 +3,7 @@
 A text is normalised like this: lower case; copyright lines and "all rights reserved" go; equivalent spellings become one (licence,
 sublicence, and the like); every run of other characters than letters and digits becomes one space. Its SHA-256 is joined to the
 digests of known texts. Units are the whole document, each paragraph and each line, so that a licence text or a notice inside a
-document is found where it stands alone. Known texts are normalised by the same expressions.
+document is found where it stands alone; a licence of several paragraphs is also known by its long ones. Known texts are normalised by the same expressions.
 
 Defined cases: null and empty texts match nothing; several matches of one licence in a document are one row with a count; equal rows
 give a row each; an empty table gives no rows; a null doc_id is kept; other columns are ignored.
@@ -64,6 +64,8 @@ KNOWN: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("LicenseRef-all-rights-reserved", "All rights reserved."),
 ]
+# a longer licence is also known by each of its long paragraphs, so that it is found inside a document
+KNOWN += [(name, part) for name, text in list(KNOWN) if "\n\n" in text for part in text.split("\n\n") if len(part.split()) >= 25]
 # Equivalent spellings, longest first.
 SPELLINGS = [
     ("sublicence", "sublicense"), ("licence", "license"), ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"),

@@ -8,12 +8,12 @@
 * Bands of five registers put documents into buckets. Equal texts (same words) are one node, the rest of this works on nodes.
 * Candidates: in each bucket all members are compared with a pivot (the member that shares most buckets). Jaccard distance d is a
   metric, so a member with d > 0.4 to the pivot links to none that is within 0.2 of it, and one between is compared only with those
-  that the triangle inequality leaves, and only where they are not in one class yet. The members that did not link to the pivot go
-  on among themselves: in full in groups of up to ``SMALL``, else with a next pivot. So no link among bucket mates is lost, and large groups of
-  copies cost one comparison a member.
+  that the triangle inequality leaves, and only where they are not in one class yet. The members that did not link go on among
+  themselves: in full in groups of up to ``SMALL``; larger groups (documents that share a common line, say) are first dealt anew by
+  every second bucket they share, and then compared with more pivots each round. So large groups of copies cost one comparison a member.
 * Links are pairs with an exact set Jaccard of at least 0.8; classes are their connected components.
 
-Five registers in 25 bands find a pair of similarity 0.8 with probability 0.99995. Node ids are 64-bit hashes of the words.
+Of 32 bands of five registers a pair of similarity 0.8 shares two or more with probability 0.99995. Node ids are 64-bit hashes of the words.
 
 Defined cases: null, empty and blank texts are each their own class; repeated rows and equal texts share a class; a null doc_id takes the class
 of its text's least id; an empty table gives no rows; columns other than id and text are ignored.
@@ -32,7 +32,7 @@ from tidewatch.llm.components import components
 from tidewatch.llm.repeats import BYTE, MASK, ODD, U, gram_hash, mix
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 25, 5
+BANDS, ROWS = 32, 5
 SMALL = 32
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _INVERSE = pow(ODD, -1, 1 << 64)
@@ -165,57 +165,70 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return durable(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, d double"), "verified")
 
 
-def near_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
-    """Links (a, b) that connect all nodes of a class; nodes: node, bands, shingles. None without candidates."""
+def near_links(nodes: DataFrame, shingles_of: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
+    """Links (a, b) that connect all nodes of a class; nodes: node, bands; shingles_of: node, shingles. None without candidates."""
     far = 1 - similarity + 1e-12
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = durable(rows.join(sizes, "bucket"), "buckets")
     if shared.isEmpty():
         return None
-    score = shared.groupBy("node").agg(F.sum("n").alias("score"))
-    active = shared.select("bucket", "node").join(score, "node")
-    held = durable(nodes.join(score.select("node"), "node", "left_semi").select("node", "shingles"), "shingles")
+    score = durable(shared.groupBy("node").agg(F.sum("n").alias("score")), "scores")
+    active = shared.join(score, "node")
+    held = durable(shingles_of.join(score.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
     links: DataFrame | None = None
+    pivots, rounds = 1, 0
     while True:
-        pivot = active.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
-        tested = durable(active.join(pivot, "bucket").where("node != pivot"), "tested")
+        best = active.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
+        if pivots > 1:
+            drawn = active.where(F.pmod(F.xxhash64("node", "bucket", F.lit(rounds)), F.col("n")) < pivots).select("bucket", F.col("node").alias("pivot"))
+            best = durable(best.unionByName(drawn).distinct(), "pivots")
+        tested = durable(active.join(best, "bucket").where("node != pivot"), "tested")
         found = verified(tested.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), held)
         new = found.where(F.col("d") <= far).select("a", "b")
-        links = new if links is None else durable(links.unionByName(new), "links")
-        classes = durable(components(links), "classes")
+        links = new if links is None else links.unionByName(new)
+        classes = components(links)
         by_node, by_pivot = classes.withColumnRenamed("component", "own"), classes.select(F.col("node").alias("pivot"), F.col("component").alias("its"))
         judged = tested.join(found.withColumnsRenamed({"a": "node", "b": "pivot"}), ["node", "pivot"])
         judged = judged.join(by_node, "node", "left").join(by_pivot, "pivot", "left").withColumn("own", F.coalesce("own", "node")).withColumn("its", F.coalesce("its", "pivot"))
-        judged = durable(judged.select("bucket", "node", "score", "d", "own", "its"), "judged")
-        # between one and two radii of the pivot and not of its class: against those near it, as far as the triangle allows
-        ring = judged.where((F.col("d") > far) & (F.col("d") <= 2 * far) & (F.col("own") != F.col("its"))).select("bucket", F.col("node").alias("a"), F.col("d").alias("da"))
-        near = judged.where((F.col("d") > 0) & (F.col("d") <= far)).select("bucket", F.col("node").alias("b"), F.col("d").alias("db"))
-        ringed = ring.join(near, "bucket").where(F.col("da") - F.col("db") <= far).select("a", "b")
+        judged = durable(judged.select("bucket", "node", "pivot", "score", "d", "own", "its"), "judged")
+        # between one and two radii of a pivot and not of its class: against those near it, as far as the triangle allows
+        ring = judged.where((F.col("d") > far) & (F.col("d") <= 2 * far) & (F.col("own") != F.col("its"))).select("bucket", "pivot", F.col("node").alias("a"), F.col("d").alias("da"))
+        near = judged.where((F.col("d") > 0) & (F.col("d") <= far)).select("bucket", "pivot", F.col("node").alias("b"), F.col("d").alias("db"))
+        ringed = ring.join(near, ["bucket", "pivot"]).where(F.col("da") - F.col("db") <= far).select("a", "b")
         # the others go on among themselves where they are of several classes
-        rest = judged.where(F.col("d") > far)
-        mixed = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo != hi").select("bucket", "n")
-        rest = durable(rest.select("bucket", "node", "score", "own").join(mixed, "bucket"), "rest")
-        few = rest.where(F.col("n") <= SMALL)
-        pairs = few.select("bucket", F.col("node").alias("a"), F.col("own").alias("ca")).join(few.select("bucket", F.col("node").alias("b"), F.col("own").alias("cb")), "bucket").where("a < b AND ca != cb").select("a", "b")
+        rest = judged.groupBy("bucket", "node").agg(F.min("d").alias("d"), F.first("score").alias("score"), F.first("own").alias("own")).where(F.col("d") > far)
+        if pivots > 1:
+            rest = rest.join(best.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_anti")
+        rest = durable(rest, "rest")
+        of_several = lambda x: x.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo != hi").select("bucket", "n")
+        open_rows = durable(rest.select("bucket", "node", "score", "own").join(of_several(rest), "bucket"), "open")
+        small = open_rows.where(F.col("n") <= SMALL)
+        large = open_rows.where(F.col("n") > SMALL)
+        if rounds == 0:
+            dealt = large.select("bucket", "node", "score", "own").join(nodes, "node").select("node", "score", "own", F.col("bucket").alias("first"), F.explode("bands").alias("second")).where("first != second")
+            dealt = durable(dealt.select(F.xxhash64(F.least("first", "second"), F.greatest("first", "second")).alias("bucket"), "node", "score", "own").dropDuplicates(["bucket", "node"]), "dealt")
+            dealt = durable(dealt.join(of_several(dealt), "bucket"), "dealt")
+            small, large = small.unionByName(dealt.where(F.col("n") <= SMALL).select(*small.columns)), dealt.where(F.col("n") > SMALL)
+        pairs = small.select("bucket", F.col("node").alias("a"), F.col("own").alias("ca")).join(small.select("bucket", F.col("node").alias("b"), F.col("own").alias("cb")), "bucket").where("a < b AND ca != cb").select("a", "b")
         more = durable(ringed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(pairs).distinct(), "pairs")
         if not more.isEmpty():
-            links = durable(links.unionByName(verified(more, held).where(F.col("d") <= far).select("a", "b")), "links")
-        active = rest.where(F.col("n") > SMALL).select("bucket", "node", "score")
+            links = links.unionByName(verified(more, held).where(F.col("d") <= far).select("a", "b"))
+        active = large.select("bucket", "node", "score", "n")
         if active.isEmpty():
             return links
+        pivots, rounds = 8 * pivots, rounds + 1
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), n_words known as empty or not by ``has_words``."""
+    """doc_id, class_id (the least doc_id of its class), has_words."""
     table = durable(sketches(docs), "sketches")
     ids = table.select("doc_id", "node")
-    nodes = table.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
-    nodes = durable(nodes, "nodes")
-    links = near_links(nodes.select("node", "bands", "shingles"), similarity)
+    nodes = durable(table.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "nodes")
+    links = near_links(nodes.select("node", "bands"), table.select("node", "shingles"), similarity)
     least = nodes.select("node", "least")
     if links is not None:
-        classes = durable(components(links), "classes")
+        classes = components(links)
         named = least.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
         top = named.groupBy("component").agg(F.min("least").alias("class_id"))
         least = named.join(top, "component").select("node", "class_id")
