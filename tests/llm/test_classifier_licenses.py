@@ -69,7 +69,7 @@ def test_scan(spark, documents):
         for name, by in found.items():
             scope = min(by, key=["text", "paragraph", "line"].index)
             want.append((doc, name, scope, len(by[scope])))
-    assert got == sorted(want, key=str) and {g[0] for g in got} == {1, 2, 3, 4, 8, 9, None}
+    assert got == sorted(want, key=str) and {g[0] for g in got} == {1, 2, 3, 4, 8, 9, 10, None}
     assert licenses.scan(documents([])).count() == 0
     own = spark.createDataFrame([("Own-1.0", "no license at all")], "license string, text string")
     assert [tuple(r) for r in licenses.scan(documents(rows), own).collect()] == [(7, "Own-1.0", "text", 1)]

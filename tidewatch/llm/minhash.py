@@ -8,9 +8,10 @@
 * Bands of five registers put documents into buckets. Equal texts (same words) are one node, the rest of this works on nodes.
 * Candidates: in each bucket all members are compared with a pivot (the member that shares most buckets). Jaccard distance d is a
   metric, so a member with d > 0.4 to the pivot links to none that is within 0.2 of it, and one between is compared only with those
-  that the triangle inequality leaves, and only where they are not in one class yet. The members that did not link go on among
-  themselves: in full in groups of up to ``SMALL``; larger groups (documents that share a common line, say) are first dealt anew by
-  every second bucket they share, and then compared with more pivots each round. So large groups of copies cost one comparison a member.
+  that the triangle inequality leaves, and only where they are not in one class yet. The members that did not link are compared
+  among themselves where they are of several classes: in blocks of ``BLOCK``, inside a task, by a product of incidence matrices, from which
+  only links come out. Groups above ``LARGE`` (documents that share a common line, say) are first dealt anew by every second bucket they share.
+  So large groups of copies cost one comparison a member, and no group is held whole by a task.
 * Links are pairs with an exact set Jaccard of at least 0.8; classes are their connected components.
 
 Of 32 bands of five registers a pair of similarity 0.8 shares two or more with probability 0.99995. Node ids are 64-bit hashes of the words.
@@ -27,13 +28,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import chunks, durable, utf8
+from tidewatch.llm.common import chunks, durable, shuffle_width, utf8
 from tidewatch.llm.components import components
 from tidewatch.llm.repeats import BYTE, MASK, ODD, U, gram_hash, mix
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
-SMALL = 32
+BLOCK, LARGE = 128, 4096
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _INVERSE = pow(ODD, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -165,6 +166,66 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return durable(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, d double"), "verified")
 
 
+def linked(sets: list[np.ndarray], own: np.ndarray, side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different classes (and, where there are two sides, from both) with at least that Jaccard similarity."""
+    sizes = np.array([len(x) for x in sets])
+    member = np.repeat(np.arange(len(sets)), sizes)
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[code] > 1
+    member, code = member[shared], np.unique(code[shared], return_inverse=True)[1]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(code, kind="stable")
+    member, code = member[order], code[order]
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+        i, j = np.searchsorted(code, [lo, lo + 4096])
+        incidence = np.zeros((len(sets), 4096), np.float32)
+        incidence[member[i:j], code[i:j] - lo] = 1
+        both += incidence @ incidence.T
+    close = both >= similarity * (sizes[:, None] + sizes - both) - 1e-6
+    close &= own[:, None] != own
+    if len(set(side.tolist())) > 1:
+        close &= side[:, None] != side
+    return np.nonzero(np.triu(close, 1))
+
+
+def compared(rows: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) among the members of each bucket; rows: bucket, node, own (class), n (members). A bucket of n members is cut
+    into n / BLOCK blocks, and each two blocks meet in one task at a time."""
+    import pyarrow as pa
+
+    count = F.ceil(F.col("n") / BLOCK).cast("int")
+    cut = rows.withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    met = cut.select("node", "own", "block", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("meeting")).join(held, "node")
+
+    def run(batches: Iterator) -> Iterator:
+        state: list = [None, []]
+        out: list = []
+
+        def flush() -> None:
+            members, state[1] = state[1], []
+            if len(members) > 1:
+                node, own, side, sets = zip(*members, strict=True)
+                node = np.array(node)
+                i, j = linked([np.frombuffer(x, np.uint32) for x in sets], np.array(own), np.array(side), similarity)
+                out.extend(zip(node[i].tolist(), node[j].tolist(), strict=True))
+
+        for batch in batches:
+            for meeting, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if meeting != state[0]:
+                    flush()
+                    state[0] = meeting
+                state[1].append(member)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                out.clear()
+        flush()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    parts = shuffle_width(rows.sparkSession)
+    return met.select("meeting", "node", "own", "block", "shingles").repartition(parts, "meeting").sortWithinPartitions("meeting").mapInArrow(run, "a long, b long")
+
+
 def near_links(nodes: DataFrame, shingles_of: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
     """Links (a, b) that connect all nodes of a class; nodes: node, bands; shingles_of: node, shingles. None without candidates."""
     far = 1 - similarity + 1e-12
@@ -174,50 +235,35 @@ def near_links(nodes: DataFrame, shingles_of: DataFrame, similarity: float = SIM
     if shared.isEmpty():
         return None
     score = durable(shared.groupBy("node").agg(F.sum("n").alias("score")), "scores")
-    active = shared.join(score, "node")
+    active = shared.select("bucket", "node").join(score, "node")
     held = durable(shingles_of.join(score.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
-    links: DataFrame | None = None
-    pivots, rounds = 1, 0
-    while True:
-        best = active.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
-        if pivots > 1:
-            drawn = active.where(F.pmod(F.xxhash64("node", "bucket", F.lit(rounds)), F.col("n")) < pivots).select("bucket", F.col("node").alias("pivot"))
-            best = durable(best.unionByName(drawn).distinct(), "pivots")
-        tested = durable(active.join(best, "bucket").where("node != pivot"), "tested")
-        found = verified(tested.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), held)
-        new = found.where(F.col("d") <= far).select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        classes = components(links)
-        by_node, by_pivot = classes.withColumnRenamed("component", "own"), classes.select(F.col("node").alias("pivot"), F.col("component").alias("its"))
-        judged = tested.join(found.withColumnsRenamed({"a": "node", "b": "pivot"}), ["node", "pivot"])
-        judged = judged.join(by_node, "node", "left").join(by_pivot, "pivot", "left").withColumn("own", F.coalesce("own", "node")).withColumn("its", F.coalesce("its", "pivot"))
-        judged = durable(judged.select("bucket", "node", "pivot", "score", "d", "own", "its"), "judged")
-        # between one and two radii of a pivot and not of its class: against those near it, as far as the triangle allows
-        ring = judged.where((F.col("d") > far) & (F.col("d") <= 2 * far) & (F.col("own") != F.col("its"))).select("bucket", "pivot", F.col("node").alias("a"), F.col("d").alias("da"))
-        near = judged.where((F.col("d") > 0) & (F.col("d") <= far)).select("bucket", "pivot", F.col("node").alias("b"), F.col("d").alias("db"))
-        ringed = ring.join(near, ["bucket", "pivot"]).where(F.col("da") - F.col("db") <= far).select("a", "b")
-        # the others go on among themselves where they are of several classes
-        rest = judged.groupBy("bucket", "node").agg(F.min("d").alias("d"), F.first("score").alias("score"), F.first("own").alias("own")).where(F.col("d") > far)
-        if pivots > 1:
-            rest = rest.join(best.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_anti")
-        rest = durable(rest, "rest")
-        of_several = lambda x: x.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo != hi").select("bucket", "n")
-        open_rows = durable(rest.select("bucket", "node", "score", "own").join(of_several(rest), "bucket"), "open")
-        small = open_rows.where(F.col("n") <= SMALL)
-        large = open_rows.where(F.col("n") > SMALL)
-        if rounds == 0:
-            dealt = large.select("bucket", "node", "score", "own").join(nodes, "node").select("node", "score", "own", F.col("bucket").alias("first"), F.explode("bands").alias("second")).where("first != second")
-            dealt = durable(dealt.select(F.xxhash64(F.least("first", "second"), F.greatest("first", "second")).alias("bucket"), "node", "score", "own").dropDuplicates(["bucket", "node"]), "dealt")
-            dealt = durable(dealt.join(of_several(dealt), "bucket"), "dealt")
-            small, large = small.unionByName(dealt.where(F.col("n") <= SMALL).select(*small.columns)), dealt.where(F.col("n") > SMALL)
-        pairs = small.select("bucket", F.col("node").alias("a"), F.col("own").alias("ca")).join(small.select("bucket", F.col("node").alias("b"), F.col("own").alias("cb")), "bucket").where("a < b AND ca != cb").select("a", "b")
-        more = durable(ringed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(pairs).distinct(), "pairs")
-        if not more.isEmpty():
-            links = links.unionByName(verified(more, held).where(F.col("d") <= far).select("a", "b"))
-        active = large.select("bucket", "node", "score", "n")
-        if active.isEmpty():
-            return links
-        pivots, rounds = 8 * pivots, rounds + 1
+    pivot = active.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
+    tested = durable(active.select("bucket", "node").join(pivot, "bucket").where("node != pivot"), "tested")
+    found = verified(tested.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), held)
+    links = found.where(F.col("d") <= far).select("a", "b")
+    classes = components(links)
+    by_node, by_pivot = classes.withColumnRenamed("component", "own"), classes.select(F.col("node").alias("pivot"), F.col("component").alias("its"))
+    judged = tested.join(found.withColumnsRenamed({"a": "node", "b": "pivot"}), ["node", "pivot"])
+    judged = judged.join(by_node, "node", "left").join(by_pivot, "pivot", "left").withColumn("own", F.coalesce("own", "node")).withColumn("its", F.coalesce("its", "pivot"))
+    judged = durable(judged.select("bucket", "node", "d", "own", "its"), "judged")
+    # between one and two radii of the pivot and not of its class: against those near it, as far as the triangle allows
+    ring = judged.where((F.col("d") > far) & (F.col("d") <= 2 * far) & (F.col("own") != F.col("its"))).select("bucket", F.col("node").alias("a"), F.col("d").alias("da"))
+    near = judged.where((F.col("d") > 0) & (F.col("d") <= far)).select("bucket", F.col("node").alias("b"), F.col("d").alias("db"))
+    ringed = ring.join(near, "bucket").where(F.col("da") - F.col("db") <= far).select("a", "b")
+    ringed = durable(ringed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ringed")
+    if not ringed.isEmpty():
+        links = links.unionByName(verified(ringed, held).where(F.col("d") <= far).select("a", "b"))
+    # those that did not link, where they are of several classes
+    of_several = lambda x: x.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo != hi").select("bucket", "n")
+    rest = judged.where(F.col("d") > far).select("bucket", "node", "own")
+    rest = durable(rest.join(of_several(rest), "bucket"), "rest")
+    links = links.unionByName(compared(rest.where(F.col("n") <= LARGE), held, similarity))
+    large = rest.where(F.col("n") > LARGE)
+    if not large.isEmpty():
+        dealt = large.select("bucket", "node", "own").join(nodes, "node").select("node", "own", F.col("bucket").alias("first"), F.explode("bands").alias("second")).where("first != second")
+        dealt = durable(dealt.select(F.xxhash64(F.least("first", "second"), F.greatest("first", "second")).alias("bucket"), "node", "own").dropDuplicates(["bucket", "node"]), "dealt")
+        links = links.unionByName(compared(dealt.join(of_several(dealt), "bucket"), held, similarity))
+    return durable(links.distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
