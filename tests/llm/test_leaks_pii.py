@@ -51,10 +51,11 @@ def test_leaks(spark, documents):
     rows += [(500, None), (501, ""), (502, "ONE!! TWO!! THREE!! FOUR!! FIVE!! SIX!! SEVEN!! EIGHT!! NINE!! TEN!!"), (503, "one two three four five six seven eight nine"), (None, items[3][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.leaks(documents(rows), bench).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == brute(rows, items)
+    want = brute(rows, items)
+    assert {(r.doc_id, r.item_id) for r in got} == want
     assert len(got) > 40 and all(r.similarity >= 0.8 for r in got)
     kept = decontamination.without_leaks(documents(rows), bench)
-    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(d) for d, _ in rows if d not in {x for x, _ in brute(rows, items)})
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(d) for d, _ in rows if d not in {x for x, _ in want})
     assert kept.columns == documents(rows).columns
     assert decontamination.leaks(documents([]), bench).count() == 0 and decontamination.leaks(documents(rows), bench.limit(0)).count() == 0
 

@@ -7,9 +7,9 @@
   shingles. A document stops when no element can arrive before its latest register.
 * Bands of five registers put documents into buckets. Equal texts (same words) are one node, the rest of this works on nodes.
 * Candidates: in each bucket all members are compared with a pivot (the member that shares most buckets). Jaccard distance d is a
-  metric, so a member with d > 0.4 to the pivot links to none that is within 0.2 of it, and one between is compared only with those
-  that the triangle inequality leaves, and only where they are not in one class yet. The members that did not link are compared
-  among themselves where they are of several classes: in blocks of ``BLOCK``, inside a task, by a product of incidence matrices, from which
+  metric, so a member with d > 0.4 to the pivot links to none that is within 0.2 of it; one between is compared with
+  those within 0.2, where they are not in one class yet; and those that did not link are compared among themselves, where they
+  are of several classes: both in blocks of ``BLOCK``, inside a task, by a product of incidence matrices, from which
   only links come out. Groups above ``LARGE`` (documents that share a common line, say) are first dealt anew by every second bucket they share.
   So large groups of copies cost one comparison a member, and no group is held whole by a task.
 * Links are pairs with an exact set Jaccard of at least 0.8; classes are their connected components.
@@ -191,11 +191,32 @@ def linked(sets: list[np.ndarray], own: np.ndarray, side: np.ndarray, similarity
 def compared(rows: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) among the members of each bucket; rows: bucket, node, own (class), n (members). A bucket of n members is cut
     into n / BLOCK blocks, and each two blocks meet in one task at a time."""
-    import pyarrow as pa
-
     count = F.ceil(F.col("n") / BLOCK).cast("int")
     cut = rows.withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    met = cut.select("node", "own", "block", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("meeting")).join(held, "node")
+    return _meet(cut.select("node", "own", F.col("block").alias("side"), F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("meeting")), held, similarity)
+
+
+def compared_sides(near: DataFrame, ring: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the two sides of each bucket, block by block; either: bucket, node, own."""
+
+    def sized(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+
+    both = sized(near, "b0").join(sized(ring, "b1"), "bucket")
+    sides = []
+    for side, rows in enumerate((near, ring)):
+        own, other = f"b{side}", f"b{1 - side}"
+        cut = rows.join(both, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col(own)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        key = F.xxhash64("bucket", *(("block", "other") if side == 0 else ("other", "block")))
+        sides.append(cut.select("node", "own", F.lit(side).alias("side"), key.alias("meeting")))
+    return _meet(sides[0].unionByName(sides[1]), held, similarity)
+
+
+def _meet(rows: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """rows: meeting, node, own, side."""
+    import pyarrow as pa
+
+    met = rows.join(held, "node")
 
     def run(batches: Iterator) -> Iterator:
         state: list = [None, []]
@@ -223,7 +244,7 @@ def compared(rows: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     parts = shuffle_width(rows.sparkSession)
-    return met.select("meeting", "node", "own", "block", "shingles").repartition(parts, "meeting").sortWithinPartitions("meeting").mapInArrow(run, "a long, b long")
+    return met.select("meeting", "node", "own", "side", "shingles").repartition(parts, "meeting").sortWithinPartitions("meeting").mapInArrow(run, "a long, b long")
 
 
 def near_links(nodes: DataFrame, shingles_of: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
@@ -246,13 +267,11 @@ def near_links(nodes: DataFrame, shingles_of: DataFrame, similarity: float = SIM
     judged = tested.join(found.withColumnsRenamed({"a": "node", "b": "pivot"}), ["node", "pivot"])
     judged = judged.join(by_node, "node", "left").join(by_pivot, "pivot", "left").withColumn("own", F.coalesce("own", "node")).withColumn("its", F.coalesce("its", "pivot"))
     judged = durable(judged.select("bucket", "node", "d", "own", "its"), "judged")
-    # between one and two radii of the pivot and not of its class: against those near it, as far as the triangle allows
-    ring = judged.where((F.col("d") > far) & (F.col("d") <= 2 * far) & (F.col("own") != F.col("its"))).select("bucket", F.col("node").alias("a"), F.col("d").alias("da"))
-    near = judged.where((F.col("d") > 0) & (F.col("d") <= far)).select("bucket", F.col("node").alias("b"), F.col("d").alias("db"))
-    ringed = ring.join(near, "bucket").where(F.col("da") - F.col("db") <= far).select("a", "b")
-    ringed = durable(ringed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ringed")
-    if not ringed.isEmpty():
-        links = links.unionByName(verified(ringed, held).where(F.col("d") <= far).select("a", "b"))
+    # between one and two radii of the pivot and not of its class: against those within one
+    ring = judged.where((F.col("d") > far) & (F.col("d") <= 2 * far) & (F.col("own") != F.col("its"))).select("bucket", "node", "own")
+    near = judged.where((F.col("d") > 0) & (F.col("d") <= far)).select("bucket", "node", "own")
+    if not ring.isEmpty():
+        links = links.unionByName(compared_sides(near, ring, held, similarity))
     # those that did not link, where they are of several classes
     of_several = lambda x: x.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo != hi").select("bucket", "n")
     rest = judged.where(F.col("d") > far).select("bucket", "node", "own")
