@@ -37,10 +37,14 @@ def words(text: Column) -> Column:
 def terms(text: Column) -> Column:
     """Distinct words and adjacent pairs; a pair needs both its words to be terms."""
     stop = F.array(*map(F.lit, STOP))
-    w = words(text)
-    n = F.size(w)
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.when(~F.array_contains(stop, F.get(w, i)) & ~F.array_contains(stop, F.get(w, i + 1)), F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))))
-    return F.array_distinct(F.concat(F.array_except(w, stop), F.coalesce(F.array_compact(pairs), F.array().cast("array<string>"))))
+
+    def of(w: Column) -> Column:
+        marked = F.transform(w, lambda x: F.when(~F.array_contains(stop, x), x))
+        pairs = F.zip_with(F.slice(marked, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(marked, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.array_distinct(F.array_compact(F.concat(marked, pairs)))
+
+    # bound to a variable, so that the words are split once
+    return F.element_at(F.transform(F.array(words(text)), of), 1)
 
 
 def referrals(text: Column) -> Column:
