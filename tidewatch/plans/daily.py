@@ -102,9 +102,9 @@ def calendar_spine_counts(spark, d):
     return wide(spark, d)
 
 
-@query(f"{SBASE} SELECT day, entity, round(px, 6) AS px FROM px")
+@query(f"{SBASE} SELECT day, entity, px FROM px")
 def price_ffill(spark, d):
-    return filled_prices(spark, d).select("day", "entity", F.round("px", 6).alias("px"))
+    return filled_prices(spark, d).select("day", "entity", "px")
 
 
 def filled_prices(spark, d):

@@ -146,9 +146,9 @@ def peaks(spark, d):
     return found.select("entity", F.explode(kept).alias("p")).select("entity", F.col("p.day").alias("peak"), F.col("p.px").alias("px"))
 
 
-@query(f"{SBASE}, {PEAK} SELECT entity, peak, round(px, 1) AS px FROM pk")
+@query(f"{SBASE}, {PEAK} SELECT entity, peak, px FROM pk")
 def ground_truth_peaks(spark, d):
-    return peaks(spark, d).select("entity", "peak", F.round("px", 1).alias("px"))
+    return peaks(spark, d).select("entity", "peak", "px")
 
 
 EPI = f"{PEAK}, ep AS (SELECT p.entity, p.peak, any_value(p.px) AS px, arg_min(x.day, (x.px, x.day)) AS trough, min(x.px) AS low FROM pk p JOIN px x ON x.entity = p.entity AND x.day BETWEEN p.peak - 120 AND p.peak AND x.px IS NOT NULL GROUP BY ALL), eb AS (SELECT e.*, (SELECT min(x.day) FROM px x WHERE x.entity = e.entity AND x.day BETWEEN e.peak AND e.peak + 90 AND x.px / e.px - 1 <= -0.15) AS bust FROM ep e)"

@@ -25,8 +25,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(day, entity, px): a brand's mean unit price on the days it trades."""
-    return scored(spark, sf_dir).groupBy("day", "entity").agg(F.avg("px").alias("px"))
+    """(day, entity, px): a brand's highest unit price on the days it trades (a maximum is the same in any order of rows)."""
+    return scored(spark, sf_dir).groupBy("day", "entity").agg(F.max("px").alias("px"))
 
 
 # The same facts for the SQL side.
@@ -39,5 +39,5 @@ SC = "sc AS (SELECT l_shipdate::DATE AS day, p_brand AS entity, p_type AS kind,
 SENT = "sent AS (SELECT day, entity, count(*) AS n_posts, avg(score) AS avg_sentiment, (count(*) FILTER (score > 0.02) - count(*) FILTER (score < -0.02))::DOUBLE / count(*) AS net_bullish FROM sc GROUP BY ALL)"
 SSPINE = "sspine AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM sc)"
 SWIDE = "swide AS (SELECT s.day, e.entity, coalesce(n_posts, 0) AS n, coalesce(n_posts * net_bullish, 0) AS bp FROM sspine s CROSS JOIN (SELECT DISTINCT entity FROM sent) e LEFT JOIN sent USING (day, entity))"
-PX = "px0 AS (SELECT day, entity, avg(px) AS px FROM sc GROUP BY ALL), px AS (SELECT s.day, e.entity, last_value(px IGNORE NULLS) OVER (PARTITION BY e.entity ORDER BY s.day) AS px FROM sspine s CROSS JOIN (SELECT DISTINCT entity FROM px0) e LEFT JOIN px0 USING (day, entity))"
+PX = "px0 AS (SELECT day, entity, max(px) AS px FROM sc GROUP BY ALL), px AS (SELECT s.day, e.entity, last_value(px IGNORE NULLS) OVER (PARTITION BY e.entity ORDER BY s.day) AS px FROM sspine s CROSS JOIN (SELECT DISTINCT entity FROM px0) e LEFT JOIN px0 USING (day, entity))"
 SBASE = f"WITH RECURSIVE {SC}, {SENT}, {SSPINE}, {SWIDE}, {PX}"
