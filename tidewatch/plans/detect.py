@@ -92,8 +92,10 @@ def asof_returns(spark, d):
 @query(f"{SBASE}, {RET} SELECT coalesce(action, 'ALL') AS action, count(pnl) AS n, CASE WHEN count(pnl) > 1 THEN round(avg(pnl), 4) + 0.0 END AS mean, CASE WHEN count(pnl) > 1 THEN round(100.0 * count(*) FILTER (pnl > 0) / count(pnl), 4) END AS hit, CASE WHEN count(pnl) > 1 THEN round(avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(252 / 20.0), 4) + 0.0 END AS sharpe FROM ret GROUP BY GROUPING SETS ((), (action))")
 def signal_scorecard(spark, d):
     n = F.count("pnl")
-    out = returns(spark, d).rollup("action").agg(n.alias("n"), F.when(n > 1, r(F.avg("pnl"))).alias("mean"), F.when(n > 1, F.round(100.0 * F.count_if(F.col("pnl") > 0) / n, 4)).alias("hit"), F.when(n > 1, r(F.avg("pnl") / F.nullif(F.stddev_samp("pnl"), F.lit(0.0)) * (252 / 20.0) ** 0.5)).alias("sharpe"))
-    return out.withColumn("action", F.coalesce("action", F.lit("ALL")))
+    measures = (n.alias("n"), F.when(n > 1, r(F.avg("pnl"))).alias("mean"), F.when(n > 1, F.round(100.0 * F.count_if(F.col("pnl") > 0) / n, 4)).alias("hit"), F.when(n > 1, r(F.avg("pnl") / F.nullif(F.stddev_samp("pnl"), F.lit(0.0)) * (252 / 20.0) ** 0.5)).alias("sharpe"))
+    # the total stands even without any trade, which a rollup of no rows would drop
+    rows = returns(spark, d)
+    return rows.groupBy("action").agg(*measures).unionByName(rows.agg(*measures).withColumn("action", F.lit("ALL")))
 
 
 @query(f"{SBASE}, {RET} SELECT entity, day, action, out, out >= last AS open, greatest(0, day + 21 - last)::INT AS days_left, round(pnl, 3) + 0.0 AS pnl FROM ret CROSS JOIN lastd")
