@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import daily, detect, people
+from tidewatch.plans import crowd, daily, detect, people
 
-MODULES = [daily, detect, people]
+MODULES = [daily, detect, crowd, people]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
