@@ -35,8 +35,10 @@ def features(daily: DataFrame) -> DataFrame:
     ratio = lambda w: W.at_least(F.try_divide(F.sum("nb").over(w), F.sum("n").over(w)), n, w, 7)
     month, fortnight = W.trailing(28), W.trailing(14)
     share = F.col("share")
+    # little data but much work a row: a fixed number of partitions, which adaptive execution does not merge into one
+    parts = int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        daily.withColumn("raw", F.try_divide(100.0 * n, total))
+        daily.withColumn("raw", F.try_divide(100.0 * n, total)).repartition(parts, "entity")
         .withColumns({
             "share": W.roll_mean(F.col("raw"), 7), "m7": W.roll_mean(n, 7), "bull28": ratio(month), "share14": ratio(fortnight), "posts28": W.roll_sum(n, 28, 7),
             "persist": F.try_divide(F.sum((nb > 0).cast("long")).over(month), F.sum((n > 0).cast("long")).over(month)),

@@ -54,10 +54,15 @@ def ewm_z(s: Column, day_number: Column, half_life: float = HALF_LIFE, least: in
 
 
 def pct_rank(x: Column, n: int = 365, least: int = 180) -> Column:
-    """Rank of today among the last n days as a share, ties averaged."""
-    past = F.collect_list(x).over(trailing(n))
-    below, same = F.size(F.filter(past, lambda v: v < x)), F.size(F.filter(past, lambda v: v == x))
-    return F.when((F.size(past) >= least) & x.isNotNull(), (below + (same + 1) / 2) / F.size(past))
+    """Rank of today among the last n days as a share, ties averaged.
+
+    The frame is sorted once and searched from either end: no lambda runs per element.
+    """
+    first = lambda past: F.array_position(past, x)
+    of = lambda past: (F.size(past) + first(past) - first(F.reverse(past)) + 1) / 2 / F.size(past)
+    # bound to a variable, so that the frame is sorted once
+    rank = F.element_at(F.transform(F.array(F.sort_array(F.collect_list(x).over(trailing(n)))), of), 1)
+    return F.when((F.count(x).over(trailing(n)) >= least) & x.isNotNull(), rank)
 
 
 def convexity_weights(n: int = 60) -> list[float]:
