@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import crowd, daily, detect, judging, people
+from tidewatch.plans import crowd, daily, detect, influence, judging, people, streams
 
-MODULES = [daily, detect, crowd, judging, people]
+MODULES = [daily, detect, crowd, judging, people, influence, streams]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
