@@ -40,6 +40,14 @@ def detector(spark, d):
     return D.ranked(D.features(crowd(spark, d)), THIN)
 
 
+def cut_detector(spark, d):
+    """The detector's columns written once (days by names, so small beside the posts), for queries that read them more than once."""
+    from tidewatch.operators.graph import _dir
+
+    _dir(spark)
+    return detector(spark, d).select("entity", "day", *D.PARTS, "level", "fade", "hype", "covered").checkpoint()
+
+
 _RANKS = {"e1": "share", "e2": "bull28", "e3": "rise28", "e5": "convex", "o1": "above", "o2": "hype_raw", "o3": "turn14", "o4": "rise14"}
 
 
@@ -186,3 +194,18 @@ def crossing_exits(spark, d):
     back = F.when(F.col("side") == "BUY", F.col("cz") < 0.5).otherwise(F.col("cz") > -0.5)
     j = t.join(z, (F.col("entity") == F.col("e")) & F.col("at").between(F.col("entry"), F.date_add("entry", 60)) & back, "left")
     return j.groupBy("entity", "side", "day", "entry").agg(F.min("at").alias("at")).select("entity", "side", "day", F.coalesce("at", F.date_add("entry", 60)).alias("exit_day"))
+
+
+@query(f"{daily.BASE}, i0 AS MATERIALIZED (SELECT entity, day, n, row_number() OVER (PARTITION BY entity ORDER BY day) AS i FROM wide), iw AS (SELECT entity, day, i, n::DOUBLE AS a, 1.0::DOUBLE AS b FROM i0 WHERE i = 1 UNION ALL SELECT x.entity, x.day, x.i, x.n + 0.75 * w.a, 1 + 0.75 * w.b FROM iw w JOIN i0 x ON x.entity = w.entity AND x.i = w.i + 1), iv AS (SELECT entity, day, a / b AS s, coalesce(a / b - lag(a / b) OVER (PARTITION BY entity ORDER BY day), 0) AS v FROM iw) SELECT entity, day, round(s, 5) AS smoothed, v > avg(v) OVER w + 2 * stddev_samp(v) OVER w AND v > 0 AS rise, v < avg(v) OVER w - 2 * stddev_samp(v) OVER w AND v < 0 AS fall FROM iv WINDOW w AS (PARTITION BY entity)")
+def inflection_flags(spark, d):
+    from tidewatch.operators.inflection import inflection
+
+    return inflection(daily.wide(spark, d)).select("entity", "day", F.round("smoothed", 5).alias("smoothed"), "rise", "fall")
+
+
+@query()
+def prominent_turns(spark, d):
+    """Held against a brute-force version in the tests."""
+    from tidewatch.operators.inflection import inflection
+
+    return inflection(daily.wide(spark, d)).where("peak OR trough").select("entity", "day", "peak", "trough")

@@ -92,7 +92,7 @@ SELECT y::INT AS year, thr::INT AS threshold, (SELECT count(*) FROM pk WHERE yea
 @query(WALK)
 def walk_forward_threshold(spark, d):
     """Each year's level is the one that did best on the years before (captured peaks less false alarms; ties to the higher level)."""
-    f = K.detector(spark, d)
+    f = K.cut_detector(spark, d)
     levels = F.array(*map(F.lit, LEVELS))
     tried = f.withColumn("thr", F.explode(levels))
     ok = F.col("covered") & F.col("hype") & (F.col("e1") >= K.THIN.attention) & (F.col("e2") > 0) & ((F.col("level") >= F.col("thr")) | ((F.col("level") >= F.col("thr") - 10) & F.col("fade")))
@@ -145,7 +145,7 @@ BUDGET = 2.0
 @query(f"{SBASE}, {K.det_sql()}, {P.PEAK}, {SEEN}, ty AS (SELECT max(year(day)) AS last, count(DISTINCT year(day)) - 1 AS years, count(DISTINCT entity) AS names FROM det WHERE level IS NOT NULL), sc0 AS (SELECT entity, day, level FROM det, ty WHERE level IS NOT NULL AND year(day) < last), gr AS (SELECT DISTINCT round(unnest(quantile_cont(level, {QUANTILES})), 5) AS thr FROM sc0), bg AS (SELECT thr, entity, day FROM sc0, gr WHERE level >= thr), {K.spacing_sql('bg', ['entity', 'thr'], 21, 'ba')}, bf AS (SELECT thr, count(*) FILTER (NOT EXISTS (FROM pk p WHERE p.entity = ba.entity AND p.peak BETWEEN ba.day AND ba.day + 45) AND NOT EXISTS (FROM pk p WHERE p.entity = ba.entity AND ba.day BETWEEN p.peak - 30 AND p.peak + 1)) AS false_alarms FROM ba GROUP BY thr), bc AS (SELECT thr, count(DISTINCT (p.entity, p.peak)) AS captured FROM ba JOIN seen p ON p.entity = ba.entity AND ba.day BETWEEN p.peak - 30 AND p.peak + 1 CROSS JOIN ty WHERE p.seen AND year(p.peak) < last GROUP BY thr), bt AS (SELECT thr, coalesce(captured, 0) AS captured, false_alarms, false_alarms / (names * years)::DOUBLE AS rate FROM bf LEFT JOIN bc USING (thr) CROSS JOIN ty) SELECT round(thr, 4) AS threshold, captured, false_alarms, round(rate, 6) AS rate, thr = coalesce((SELECT arg_max(thr, (captured, thr)) FROM bt WHERE rate <= {BUDGET}), (SELECT max(thr) FROM bt)) AS chosen FROM bt")
 def budget_threshold(spark, d):
     """Of the percentiles of the past scores, the one that captures most within a budget of false alarms per name and year; else the highest."""
-    s = K.detector(spark, d).where("level IS NOT NULL").select("entity", "day", "level")
+    s = K.cut_detector(spark, d).where("level IS NOT NULL").select("entity", "day", "level")
     ty = s.agg(F.max(F.year("day")).alias("last"), (F.countDistinct(F.year("day")) - 1).alias("years"), F.countDistinct("entity").alias("names"))
     past = s.join(F.broadcast(ty)).where(F.year("day") < F.col("last"))
     grid = past.agg(F.array_distinct(F.transform(F.percentile("level", F.array(*map(F.lit, QUANTILES))), lambda x: F.round(x, 5))).alias("grid"))

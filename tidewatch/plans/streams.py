@@ -33,7 +33,7 @@ def stream_dedup(spark, d):
     return S.first_sight(e, ["event_id"], "ts", "2 days", S.folder(spark, "seen"), S.folder(spark, "seen-at")).select("event_id", "user_id", "event_type")
 
 
-@query("WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true)::INT AS s FROM events), r AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id AS \"user\", epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM r GROUP BY user_id, k")
+@query("WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true)::INT AS s FROM events), r AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id AS \"user\", strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last, count(*) AS n FROM r GROUP BY user_id, k")
 def session_runs(spark, d):
     e = read(spark, d, "events").select(F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("ts"))
-    return S.sessions(e).select("user", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), "n")
+    return S.sessions(e).select("user", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("first", "last")), "n")
