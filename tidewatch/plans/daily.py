@@ -214,10 +214,9 @@ def sentiment_change(spark, d):
 EWM = "k AS (SELECT *, day - (SELECT min(day) FROM swide) AS i FROM pr), w AS (SELECT a.entity, a.day, a.bp7 AS s, sum(pow(2, (b.i - a.i) / 42.0)) AS t, sum(pow(4, (b.i - a.i) / 42.0)) AS q, sum(pow(2, (b.i - a.i) / 42.0) * b.bp7) AS m, min(b.bp7) AS lo, max(b.bp7) AS hi, count(*) AS n FROM k a JOIN k b ON a.entity = b.entity AND b.day <= a.day GROUP BY ALL), v AS (SELECT a.entity, a.day, sum(pow(2, (b.i - x.i) / 42.0) * (b.bp7 - a.m / a.t) * (b.bp7 - a.m / a.t)) AS ss FROM w a JOIN k x USING (entity, day) JOIN k b ON a.entity = b.entity AND b.day <= a.day GROUP BY ALL)"
 
 
-@query(f"{SBASE}, {PRESS}, {EWM} SELECT w.day, w.entity, CASE WHEN n >= 28 AND lo < hi THEN round((s - m / t) / sqrt(ss / t * t * t / (t * t - q)), 3) + 0.0 END AS z FROM w JOIN v USING (entity, day) WHERE w.entity = 'Brand#11'")
+@query(f"{SBASE}, {PRESS}, {EWM} SELECT w.day, w.entity, CASE WHEN n >= 28 AND lo < hi THEN round((s - m / t) / sqrt(ss / t * t * t / (t * t - q)), 3) + 0.0 END AS z FROM w JOIN v USING (entity, day)")
 def conviction_ewm(spark, d):
-    """One brand: the SQL side joins every day with all before it."""
-    p = pressure(spark, d).where("entity = 'Brand#11'")
+    p = pressure(spark, d)
     i = F.datediff("day", F.min("day").over(Window.partitionBy("entity")))
     return p.withColumn("i", i).select("day", "entity", r(W.ewm_z(F.col("bp7"), F.col("i")), 3).alias("z"))
 

@@ -12,7 +12,6 @@ from tidewatch.plans import daily
 from tidewatch.sources.tables import read
 
 QUERIES, ORACLES = {}, {}
-ONE = "Brand#11"
 
 
 def query(sql: str | None = None):
@@ -105,13 +104,13 @@ def trade_ledger(spark, d):
     return t.join(F.broadcast(last)).select("entity", "day", "action", "out", (F.col("out") >= F.col("last")).alias("open"), F.greatest(F.lit(0), F.datediff(F.date_add("day", 21), "last")).cast("int").alias("days_left"), r(F.col("pnl"), 3).alias("pnl"))
 
 
-@query(f"{SBASE}, {daily.PRESS}, a AS (SELECT p.entity, p.day, bp7 - lag(bp7) OVER w AS chg, px / lag(px) OVER w - 1 AS ret FROM pr p JOIN px USING (entity, day) WINDOW w AS (PARTITION BY p.entity ORDER BY p.day)), l AS (SELECT unnest(range(-15, 16)) AS lag) SELECT lag::INT AS lag, round(corr(x.chg, y.ret), 4) + 0.0 AS corr, count(*) AS n FROM l JOIN a x ON true JOIN a y ON x.entity = y.entity AND y.day = x.day + lag::INT WHERE x.entity = '{ONE}' AND x.chg IS NOT NULL AND y.ret IS NOT NULL GROUP BY lag")
+@query(f"{SBASE}, {daily.PRESS}, a AS (SELECT p.entity, p.day, bp7 - lag(bp7) OVER w AS chg, px / lag(px) OVER w - 1 AS ret FROM pr p JOIN px USING (entity, day) WINDOW w AS (PARTITION BY p.entity ORDER BY p.day)), l AS (SELECT unnest(range(-15, 16)) AS lag) SELECT x.entity, lag::INT AS lag, round(corr(x.chg, y.ret), 4) + 0.0 AS corr, count(*) AS n FROM l JOIN a x ON true JOIN a y ON x.entity = y.entity AND y.day = x.day + lag::INT WHERE x.chg IS NOT NULL AND y.ret IS NOT NULL GROUP BY x.entity, lag")
 def lead_lag_corr(spark, d):
-    p = daily.pressure(spark, d).join(filled_prices(spark, d).select("day", "entity", "px"), ["day", "entity"]).where(F.col("entity") == ONE)
+    p = daily.pressure(spark, d).join(filled_prices(spark, d).select("day", "entity", "px"), ["day", "entity"])
     a = p.select("day", "entity", W.delta(F.col("bp7")).alias("chg"), (F.col("px") / F.lag("px").over(W.by_entity()) - 1).alias("ret"))
     x = a.where("chg IS NOT NULL").select("entity", "day", "chg", F.explode(F.sequence(F.lit(-15), F.lit(15))).alias("lag")).withColumn("at", F.expr("date_add(day, lag)"))
     y = a.where("ret IS NOT NULL").select("entity", F.col("day").alias("at"), "ret")
-    return x.join(y, ["entity", "at"]).groupBy("lag").agg(r(F.corr("chg", "ret")).alias("corr"), F.count(F.lit(1)).alias("n"))
+    return x.join(y, ["entity", "at"]).groupBy("entity", "lag").agg(r(F.corr("chg", "ret")).alias("corr"), F.count(F.lit(1)).alias("n"))
 
 
 FLIP = f"{daily.PRESS}, v AS (SELECT entity, day, bp7 - lag(bp7) OVER (PARTITION BY entity ORDER BY day) AS v FROM pr), e AS (SELECT *, 0.25 * stddev_samp(v) OVER (PARTITION BY entity) AS eps FROM v), s AS (SELECT entity, day, last_value(CASE WHEN v > eps THEN 1 WHEN v < -eps THEN -1 END IGNORE NULLS) OVER (PARTITION BY entity ORDER BY day) AS state FROM e), f AS (SELECT entity, day, state FROM (SELECT *, coalesce(lag(state) OVER (PARTITION BY entity ORDER BY day), 0) AS before FROM s) WHERE state != before), k AS (SELECT *, row_number() OVER (PARTITION BY entity, state ORDER BY day) AS k FROM f), walk AS (SELECT entity, state, day, k, day AS kept FROM k WHERE k = 1 UNION ALL SELECT k.entity, k.state, k.day, k.k, CASE WHEN k.day - w.kept >= 7 THEN k.day ELSE w.kept END FROM walk w JOIN k ON k.entity = w.entity AND k.state = w.state AND k.k = w.k + 1)"
