@@ -132,3 +132,13 @@ def test_streams_go_on_after_a_restart(spark, tmp_path):
     assert fold() == [(on(0), 1), (on(1), 1)] and seen() == [1, 2]
     send("2", [(2, on(1), "a"), (3, on(0), "a")])
     assert fold() == [(on(0), 2), (on(1), 2)] and seen() == [1, 2, 3]
+
+
+def test_walk_forward_learns_from_the_past_only(spark):
+    from tidewatch.operators.learn import walk_forward
+
+    rows = [(2000 + k // 40, float(k % 2), k % 2) for k in range(80)] + [(2002, float(k % 2), 1 - k % 2) for k in range(40)]
+    f = spark.createDataFrame(rows, "year int, x double, y int")
+    out = walk_forward(f, ["x"]).collect()
+    assert len(out) == 80 and all((r.score > 0.5) == (r.x > 0.5) for r in out)
+    assert walk_forward(f.where("year = 2000"), ["x"]).count() == 0
