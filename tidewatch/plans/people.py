@@ -26,9 +26,9 @@ def caps_tokens(spark, d):
     return read(spark, d, "documents").select("doc_id", F.explode(T.caps_tokens(F.col("text"))).alias("tok")).groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"SELECT lower(w) AS word, count(*) FILTER (w = upper(w)) AS caps, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\b([A-Za-z]{4,5})\b', 1)) AS w FROM documents WHERE lang = 'en') GROUP BY 1 HAVING count(*) >= 30")
+@query(r"SELECT lower(w) AS word, count(*) FILTER (w = upper(w)) AS caps, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\b([A-Za-z]{4,5})\b', 1)) AS w FROM documents) GROUP BY 1 HAVING count(*) >= 30")
 def caps_ratio_screen(spark, d):
-    w = read(spark, d, "documents").where("lang = 'en'").select(F.explode(T.runs(F.col("text"), "[A-Za-z]{4,5}")).alias("w"))
+    w = read(spark, d, "documents").select(F.explode(T.runs(F.col("text"), "[A-Za-z]{4,5}")).alias("w"))
     return w.groupBy(F.lower("w").alias("word")).agg(F.count_if(F.col("w") == F.upper("w")).alias("caps"), F.count(F.lit(1)).alias("n")).where("n >= 30")
 
 
@@ -42,9 +42,9 @@ def theme_keywords(spark, d):
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP) + "]"
 
 
-@query(rf"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\b([a-z][a-z0-9]{{2,}})\b', 1) AS w FROM documents WHERE lang = 'en'), p AS (SELECT doc_id, unnest(w) AS t, 1 AS k FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: CASE WHEN NOT list_contains({_STOP}, w[i]) AND NOT list_contains({_STOP}, w[i + 1]) THEN w[i] || ' ' || w[i + 1] END)), 2 FROM w) SELECT t AS term, count(DISTINCT doc_id) AS n FROM p WHERE t IS NOT NULL AND NOT list_contains({_STOP}, t) GROUP BY t HAVING count(DISTINCT doc_id) >= CASE WHEN contains(t, ' ') THEN 5 ELSE 3 END")
+@query(rf"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\b([a-z][a-z0-9]{{2,}})\b', 1) AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS t, 1 AS k FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: CASE WHEN NOT list_contains({_STOP}, w[i]) AND NOT list_contains({_STOP}, w[i + 1]) THEN w[i] || ' ' || w[i + 1] END)), 2 FROM w) SELECT t AS term, count(DISTINCT doc_id) AS n FROM p WHERE t IS NOT NULL AND NOT list_contains({_STOP}, t) GROUP BY t HAVING count(DISTINCT doc_id) >= CASE WHEN contains(t, ' ') THEN 5 ELSE 3 END")
 def term_bigrams(spark, d):
-    t = read(spark, d, "documents").where("lang = 'en'").select(F.explode(T.terms(F.col("text"))).alias("term"))
+    t = read(spark, d, "documents").select(F.explode(T.terms(F.col("text"))).alias("term"))
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.when(F.col("term").contains(" "), 5).otherwise(3))
 
 
