@@ -103,3 +103,33 @@ def test_lines(spark, documents, seed):
     texts = {(r.doc_id, r.text) for r in got}
     assert texts == {x[:2] for x in brute_lines(rows, 3)}
     assert len(got) == len(rows)
+
+
+def brute_runs(rows, words=50):
+    """Lines in an earlier window of three lines, or of one or two lines with so many words."""
+    strip = lambda t: [s for s in (x.strip(" \t\n\v\f\r") for x in (t or "").split("\n")) if s]
+    lines = {d: strip(t) for d, t in rows}
+    windows = lambda x: [(i, m) for i in range(len(x)) for m in (1, 2, 3) if i + m <= len(x) and (m == 3 or len(" ".join(x[i : i + m]).split()) >= words)]
+    seen = {}
+    for d, x in lines.items():
+        for i, m in windows(x):
+            w = tuple(x[i : i + m])
+            seen[w] = min(seen.get(w, (d, i)), (d, i))
+    out = set()
+    for d, x in lines.items():
+        gone = {k for i, m in windows(x) if seen[tuple(x[i : i + m])] < (d, i) for k in range(i, i + m)}
+        out.add((d, "\n".join(s for k, s in enumerate(x) if k not in gone), len(gone), sum(k - 1 not in gone for k in gone)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_short_runs_of_many_words(spark, documents, seed):
+    """One or two long lines between different neighbours are repeats too; short ones are not."""
+    rng = random.Random(seed)
+    pool = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (3, 20, 25, 30, 49, 50, 51, 80)]
+    rows = [(d, "\n".join(rng.choice(pool) if rng.random() < 0.5 else f"own {d} {k}" for k in range(rng.randrange(1, 7)))) for d in range(80)]
+    rows += [(100, pool[7]), (101, f"before\n{pool[2]}\n{pool[3]}\nafter"), (102, pool[4]), (103, "字" * 60 + "\n猫"), (104, "犬\n" + "字" * 60)]
+    got = line_dedup.dedup_lines(documents(rows)).collect()
+    mine = {(r.doc_id, r.text, r.n_removed, r.n_runs) for r in got}
+    assert {x for x in mine if x[0] < 103} == {x for x in brute_runs(rows) if x[0] < 103}
+    assert {x for x in mine if x[0] >= 103} == {(103, rows[-2][1], 0, 0), (104, "犬", 1, 1)}

@@ -34,12 +34,15 @@ LEAST = -(1 << 63)
 
 @dataclass(frozen=True)
 class Shape:
-    """span and gram in symbols of ``width`` bytes; positional: an earlier place in the same document counts as earlier too."""
+    """span and gram in symbols of ``width`` bytes; positional: an earlier place in the same document counts as earlier too; gaps: no
+    window holds a symbol of zero bytes; base: what is added to the places of spans, so that those of several shapes stay apart."""
 
     span: int
     gram: int
     width: int = 1
     positional: bool = False
+    gaps: bool = False
+    base: int = 0
 
     @property
     def side(self) -> int:
@@ -103,6 +106,9 @@ def anchors(data: np.ndarray, bounds: np.ndarray, shape: Shape) -> Units | None:
     lengths = np.diff(bounds)
     doc_of = np.repeat(np.arange(n, dtype=np.int32), lengths)
     first = np.flatnonzero(doc_of[: len(anchor)] == doc_of[shape.span - 1 :])  # windows within one text
+    if shape.gaps:
+        void = np.r_[0, np.cumsum(~data.reshape(-1, shape.width).any(axis=1))]
+        first = first[void[first + shape.span] == void[first]]
     if not len(first):
         return None
     anchor, owner = anchor[first], doc_of[first]
@@ -269,13 +275,13 @@ class Spans:
 
     MOST = 1_000_000
 
-    def __init__(self, emit: Callable[[int, bool, bytes], None], homes: int):
-        self.emit, self.homes, self.parts, self.size = emit, homes, [], 0
+    def __init__(self, emit: Callable[[int, bool, bytes], None], homes: int, base: int = 0):
+        self.emit, self.homes, self.base, self.parts, self.size = emit, homes, base, [], 0
 
     def add(self, docs: dict[str, np.ndarray], doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
         if len(doc):
             doc, begin, end = union(doc, begin, end)
-            self.parts.append((docs["id"][doc], docs["text"][doc], begin, end))
+            self.parts.append((docs["id"][doc], docs["text"][doc], begin + self.base, end + self.base))
             self.size += len(doc)
             if self.size > self.MOST:
                 self.flush()
@@ -315,7 +321,7 @@ def send(shape: Shape, read: Callable, splitters: np.ndarray, homes: int, flush_
 
     def run(batches: Iterator) -> Iterator:
         out: list = []
-        spans = Spans(lambda *x: out.append(x), homes)
+        spans = Spans(lambda *x: out.append(x), homes, shape.base)
         held: list[Units] = []
         docs: dict[str, list] = {"id": [], "text": []}
         count = [0, 0]
@@ -376,7 +382,7 @@ def meet(shape: Shape, homes: int) -> Callable:
 
     def run(batches: Iterator) -> Iterator:
         out: list = []
-        spans = Spans(lambda *x: out.append(x), homes)
+        spans = Spans(lambda *x: out.append(x), homes, shape.base)
         state: list = [None, []]
 
         def flush() -> None:
@@ -438,9 +444,11 @@ def home_spans(batches: Iterator, use: Callable) -> Iterator:
         yield done
 
 
-def find(docs: DataFrame, shape: Shape, read: Callable, finish: Callable, schema: str, text: Column, extra: list[str], size: int, sample: int = 1000) -> DataFrame:
+def find(docs: DataFrame, shape: Shape, read: Callable, finish: Callable, schema: str, text: Column, extra: list[str], size: int, sample: int = 1000, also: list[tuple[Shape, Callable]] | None = None) -> DataFrame:
     """finish: batches of [home, is text, payload, id, text hash, text, *extra] -> batches of ``schema``, see home_spans.
 
+    ``also``: further shapes, each with its reader of symbols, whose spans come back beside those of ``shape``.
+
     ``size``: bytes of all texts, from which bucket counts follow. ``sample``: documents from which splitters are drawn (they set the
     balance of buckets, not the result).
     """
@@ -452,24 +460,29 @@ def find(docs: DataFrame, shape: Shape, read: Callable, finish: Callable, schema
     twice = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     rows = rows.select("id", (F.xxhash64("text") if twice else F.lit(0).cast("long")).alias("hash"), home_column(F.col("id"), homes).alias("home"), "text", *extra)
 
-    def lead(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            data, bounds = read(batch.column(0))
-            found = [anchors(data[bounds[lo] * shape.width : bounds[hi] * shape.width], bounds[lo : hi + 1] - bounds[lo], shape) for lo, hi in chunks(bounds * shape.width, 2_000_000)]
-            first = np.concatenate([np.zeros(0, np.uint64), *(np.unique(gram_words(u.ctx, shape)[0]) for u in found if u)])
-            h = mix(first ^ U(ODD))
-            first = first[np.argsort(h)][:4096]
-            yield pa.RecordBatch.from_arrays([pa.array((first >> U(1)).astype(np.int64))], names=["lead"])
-
-    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, size // (3000 * sample)))) == 0).select("text")
-    leads = picked.mapInArrow(lead, "lead long").where(F.pmod(F.xxhash64("lead"), F.lit(max(1, sample // 250))) == 0)
-    cuts = leads.agg(F.percentile_approx("lead", F.array(*(F.lit(k / buckets) for k in range(1, buckets))), F.lit(20_000)) if buckets > 1 else F.array()).first()[0] or []
-    splitters = np.unique(np.array(cuts, np.int64)).astype(np.uint64) << U(1)
-
-    sent = rows.select("id", "hash", "text").mapInArrow(send(shape, read, splitters, homes, 300_000), PACKED)
-    met = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet(shape, homes), PACKED)
+    def found_by(shape: Shape, read: Callable) -> DataFrame:
+        def lead(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                data, bounds = read(batch.column(0))
+                found = [anchors(data[bounds[lo] * shape.width : bounds[hi] * shape.width], bounds[lo : hi + 1] - bounds[lo], shape) for lo, hi in chunks(bounds * shape.width, 2_000_000)]
+                first = np.concatenate([np.zeros(0, np.uint64), *(np.unique(gram_words(u.ctx, shape)[0]) for u in found if u)])
+                h = mix(first ^ U(ODD))
+                first = first[np.argsort(h)][:4096]
+                yield pa.RecordBatch.from_arrays([pa.array((first >> U(1)).astype(np.int64))], names=["lead"])
+
+        picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, size // (3000 * sample)))) == 0).select("text")
+        leads = picked.mapInArrow(lead, "lead long").where(F.pmod(F.xxhash64("lead"), F.lit(max(1, sample // 250))) == 0)
+        cuts = leads.agg(F.percentile_approx("lead", F.array(*(F.lit(k / buckets) for k in range(1, buckets))), F.lit(20_000)) if buckets > 1 else F.array()).first()[0] or []
+        splitters = np.unique(np.array(cuts, np.int64)).astype(np.uint64) << U(1)
+
+        sent = rows.select("id", "hash", "text").mapInArrow(send(shape, read, splitters, homes, 300_000), PACKED)
+        return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet(shape, homes), PACKED)
+
+    met = found_by(shape, read)
+    for another in also or []:
+        met = met.unionByName(found_by(*another))
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.select("id", "hash", "text", *extra).schema]
     back = met.select(F.col("bucket").alias("home"), F.lit(False).alias("is_text"), "payload", *nothing)
     own = rows.select("home", F.lit(True).alias("is_text"), F.lit(None).cast("binary").alias("payload"), "id", "hash", "text", *extra)
