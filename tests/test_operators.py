@@ -142,3 +142,50 @@ def test_walk_forward_learns_from_the_past_only(spark):
     out = walk_forward(f, ["x"]).collect()
     assert len(out) == 80 and all((r.score > 0.5) == (r.x > 0.5) for r in out)
     assert walk_forward(f.where("year = 2000"), ["x"]).count() == 0
+
+
+def test_whole_rounds_and_no_bots(spark, tmp_path):
+    """Ranks and beliefs of all rounds, without accounts over a limit; a chain is far from settled after ten rounds."""
+    import datetime
+
+    import numpy as np
+
+    from tidewatch.plans import registry
+
+    n = 30
+    at = datetime.datetime(2020, 1, 1)
+    chain = [(k, at + datetime.timedelta(minutes=k), k, "view" if k % 2 else "click", float(k)) for k in range(n)]
+    rows = [(i, t, u, "error", v) for i, t, u, _, v in chain] + [(1000 + i, t, 99, "click", 1.0) for i, t in ((k, at + datetime.timedelta(hours=2, seconds=k)) for k in range(1001))]
+    rows += [(900, at - datetime.timedelta(minutes=1), 99, "error", 0.0), (901, at + datetime.timedelta(minutes=n), 99, "error", 0.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    link = np.zeros((n, n))
+    for k in range(n - 1):
+        link[k, k + 1] = link[k + 1, k] = 1
+    rank = np.full(n, 1 / n)
+    for _ in range(50):
+        rank = 0.15 / n + 0.85 * (rank / link.sum(1)) @ link
+    got = {r.author: r.rank for r in registry.QUERIES["pagerank_50"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(n)) and all(abs(got[k] - rank[k]) < 1e-6 for k in range(n))
+    loud = {r.author for r in registry.QUERIES["loud_but_wrong_50"](spark, str(tmp_path)).collect()}
+    assert loud == set(range(n))
+    whole = np.zeros((n + 1, n + 1))
+    whole[:n, :n] = link
+    whole[n, 0] = whole[0, n] = whole[n, n - 1] = whole[n - 1, n] = 1
+    from tidewatch.plans.influence import priors
+
+    y = {r.node: r.y for r in priors(spark, str(tmp_path)).collect()}
+    y = np.array([np.nan if (v := y[99 if k == n else k]) is None else v for k in range(n + 1)])
+    belief = np.where(np.isnan(y), np.nanmean(y), y)
+    for _ in range(30):
+        belief = np.where(np.isnan(y), 0.85 * (whole @ belief) / whole.sum(1) + 0.15 * belief, y)
+    got = {r.node: r.belief for r in registry.QUERIES["label_propagation_30"](spark, str(tmp_path)).collect()}
+    assert all(abs(got[99 if k == n else k] - belief[k]) < 2e-6 for k in range(n + 1))
+
+
+def test_stars_go_in_a_large_graph_only(spark):
+    from tidewatch.operators.graph import without_bots
+
+    nobody = spark.createDataFrame([], "node long, n_comments long, n_posts long")
+    for n, kept in ((49, True), (50, False)):
+        e = spark.createDataFrame([(0, k, 1.0) for k in range(1, n)] + [(k, k + 1, 1.0) for k in range(1, n - 1)], "u long, v long, w double")
+        assert (without_bots(e, nobody).where("u = 0").count() > 0) == kept

@@ -27,3 +27,18 @@ def pagerank(edges: DataFrame, steps: int = 50, damping: float = 0.85, every: in
         if k % every == 0:
             rank = rank.checkpoint()
     return rank
+
+
+def without_bots(edges: DataFrame, activity: DataFrame, comments: int = 1000, posts: int = 100, share: float = 0.5, least: int = 50) -> DataFrame:
+    """edges (u, v, w) without accounts over a limit of activity (node, n_comments, n_posts), then without those linked to more than a
+    share of all others, where the graph has so many nodes."""
+
+    def drop(e: DataFrame, gone: DataFrame) -> DataFrame:
+        for end in ("u", "v"):
+            e = e.join(gone.select(F.col("node").alias(end)), end, "left_anti")
+        return e.select("u", "v", "w")
+
+    kept = drop(edges, activity.where((F.col("n_comments") > comments) | (F.col("n_posts") > posts)).select("node"))
+    degree = kept.select("u").unionAll(kept.select("v")).groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    n = degree.agg(F.count(F.lit(1)).alias("n"))
+    return drop(kept, degree.join(F.broadcast(n)).where((F.col("n") >= least) & (F.col("degree") > share * (F.col("n") - 1))).select("node"))

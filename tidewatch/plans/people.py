@@ -107,3 +107,17 @@ def pagerank_10(spark, d):
     from tidewatch.operators.graph import pagerank
 
     return pagerank(edges(spark, d), 10).select(F.col("node").alias("author"), F.round("rank", 7).alias("rank"))
+
+
+def activity(spark, d):
+    """Clicks stand for comments and views for posts, as in participation."""
+    kind = F.col("event_type")
+    return read(spark, d, "events").groupBy(F.col("user_id").alias("node")).agg(F.count_if(kind == "click").alias("n_comments"), F.count_if(kind == "view").alias("n_posts"))
+
+
+@query()
+def pagerank_50(spark, d):
+    """The whole number of rounds, on the graph without bots and stars. No SQL: fifty rounds do not unroll."""
+    from tidewatch.operators.graph import pagerank, without_bots
+
+    return pagerank(without_bots(edges(spark, d), activity(spark, d))).select(F.col("node").alias("author"), F.round("rank", 7).alias("rank"))
