@@ -189,3 +189,21 @@ def test_stars_go_in_a_large_graph_only(spark):
     for n, kept in ((49, True), (50, False)):
         e = spark.createDataFrame([(0, k, 1.0) for k in range(1, n)] + [(k, k + 1, 1.0) for k in range(1, n - 1)], "u long, v long, w double")
         assert (without_bots(e, nobody).where("u = 0").count() > 0) == kept
+
+
+def test_every_signal_is_judged(spark):
+    """No day of the calendar is left out: all days with a high count and a side, three weeks apart."""
+    from tidewatch.plans import daily, detect, registry
+
+    small = "/root/testdata/sf0.01"
+    want, last = set(), {}
+    for r in daily.pressure(spark, small).where("n7 >= 8").orderBy("day").collect():
+        side = (r.entity, r.bp7 > 0)
+        if round(r.bp7, 6) and (side not in last or (r.day - last[side]).days >= 21):
+            last[side] = r.day
+            want.add((r.entity, r.day, r.bp7 > 0))
+    assert want and {(r.entity, r.day, r.buy) for r in detect.every_signal(spark, small).collect()} == want
+    for name in ("asof_returns_all", "onset_judge_all"):
+        rows = {(r.entity, r.day) for r in registry.QUERIES[name](spark, small).collect()}
+        assert rows == {w[:2] for w in want}
+    assert len({r.day.toordinal() % 17 for r in registry.QUERIES["top_judge_all"](spark, small).collect()}) > 1

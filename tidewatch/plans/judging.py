@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -185,9 +187,9 @@ DRAWS = 200
 
 
 @query(f"{SBASE}, {P.RET}, nm AS (SELECT entity, sum(pnl) AS s, count(pnl) AS n FROM ret GROUP BY entity), dw AS (SELECT entity, s, n, b, ('0x' || substr(md5(entity || ':' || b), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM nm, (SELECT unnest(range({DRAWS})) AS b)), ww AS (SELECT *, {' + '.join(f'(u >= {p})::INT' for p in POISSON)} AS w FROM dw), ms AS (SELECT b, sum(w * s) / nullif(sum(w * n), 0) AS m FROM ww GROUP BY b) SELECT count(m) AS draws, round(quantile_cont(m, 0.05), 5) + 0.0 AS low, round(quantile_cont(m, 0.5), 5) + 0.0 AS mid, round(quantile_cont(m, 0.95), 5) + 0.0 AS high FROM ms")
-def cluster_bootstrap(spark, d):
+def cluster_bootstrap(spark, d, chosen=P.signals):
     """Interval of the mean return with names drawn as clusters: per-name sums first, then Poisson weights from a hash of name and draw."""
-    names = P.returns(spark, d).groupBy("entity").agg(F.sum("pnl").alias("s"), F.count("pnl").alias("n"))
+    names = P.returns(spark, d, chosen).groupBy("entity").agg(F.sum("pnl").alias("s"), F.count("pnl").alias("n"))
     x = names.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
     u = F.conv(F.substring(F.md5(F.concat_ws(":", "entity", "b")), 1, 8), 16, 10).cast("long") / 4294967296.0
     x = x.withColumn("u", u).withColumn("w", sum(((F.col("u") >= p).cast("int") for p in POISSON), F.lit(0)))
@@ -199,9 +201,9 @@ STARTS = f"{P.SIG}, sx AS (SELECT entity, day, (day - DATE '1970-01-01') % 2 = 0
 
 
 @query(f"{SBASE}, {STARTS} SELECT s.entity, s.day, EXISTS (FROM sx e WHERE NOT e.buy AND e.entity = s.entity AND s.day - e.day BETWEEN 0 AND 20) AS dropped, EXISTS (FROM sx e WHERE NOT e.buy AND e.entity = s.entity AND e.day - s.day BETWEEN 0 AND 21) AS adjacent FROM sx s WHERE s.buy")
-def start_end_coherence(spark, d):
+def start_end_coherence(spark, d, chosen=P.signals):
     """Starts within three weeks after an end are dropped; starts with an end within three weeks after count as adjacent."""
-    s = P.signals(spark, d)
+    s = chosen(spark, d)
     e = s.where("NOT buy").select(F.col("entity").alias("e"), F.col("day").alias("end"))
     j = s.where("buy").join(e, (F.col("entity") == F.col("e")) & F.col("end").between(F.date_sub("day", 20), F.date_add("day", 21)), "left")
     gap = F.datediff("day", "end")
@@ -209,8 +211,8 @@ def start_end_coherence(spark, d):
 
 
 @query(f"{SBASE}, {P.SIG}, {EP}, fx AS (SELECT s.entity, s.day FROM sig s WHERE NOT EXISTS (FROM epi e WHERE e.entity = s.entity AND s.day BETWEEN e.trough AND e.peak)) SELECT CASE WHEN EXISTS (FROM epi e WHERE e.entity = f.entity AND e.trough - f.day BETWEEN 1 AND 90) THEN 'early' WHEN EXISTS (FROM epi e WHERE e.entity = f.entity AND f.day - e.peak BETWEEN 1 AND 90) THEN 'post_peak' ELSE 'isolated' END AS kind, count(*) AS n FROM fx f GROUP BY 1")
-def fa_anatomy(spark, d):
-    a = P.onset_judge(spark, d).where("verdict = 'FA'").select("entity", "day")
+def fa_anatomy(spark, d, chosen=P.signals):
+    a = P.onset_judge(spark, d, chosen).where("verdict = 'FA'").select("entity", "day")
     e = P.episodes(spark, d).select(F.col("entity").alias("e"), "trough", "peak")
     j = a.join(e, (F.col("entity") == F.col("e")) & (F.col("trough").between(F.date_add("day", 1), F.date_add("day", 90)) | F.col("peak").between(F.date_sub("day", 90), F.date_sub("day", 1))), "left")
     k = j.groupBy("entity", "day").agg(F.bool_or(F.datediff("trough", "day").between(1, 90)).alias("early"), F.count("peak").alias("k"))
@@ -223,15 +225,15 @@ def episodes_per_year(spark, d):
 
 
 @query(f"WITH tj AS ({P.ORACLES['top_judge']}) SELECT entity, count(*) AS alerts, count(*) FILTER (verdict = 'HIT') AS hits, count(*) FILTER (verdict = 'FA') AS false_alarms FROM tj GROUP BY entity")
-def per_name_table(spark, d):
-    return P.top_judge(spark, d).groupBy("entity").agg(F.count(F.lit(1)).alias("alerts"), F.count_if(F.col("verdict") == "HIT").alias("hits"), F.count_if(F.col("verdict") == "FA").alias("false_alarms"))
+def per_name_table(spark, d, chosen=P.signals):
+    return P.top_judge(spark, d, chosen).groupBy("entity").agg(F.count(F.lit(1)).alias("alerts"), F.count_if(F.col("verdict") == "HIT").alias("hits"), F.count_if(F.col("verdict") == "FA").alias("false_alarms"))
 
 
 @query(f"{SBASE}, {P.SIG}, ko AS (SELECT unnest(range(-21, 85))::INT AS k), pt AS (SELECT s.entity, k, avg(b.px / a.px) AS m FROM sig s JOIN px a ON a.entity = s.entity AND a.day = s.day JOIN ko ON true JOIN px b ON b.entity = s.entity AND b.day = s.day + k WHERE a.px IS NOT NULL AND b.px IS NOT NULL GROUP BY ALL) SELECT k, count(*) AS names, round(avg(m), 6) AS mean, round(median(m), 6) AS median FROM pt GROUP BY k")
-def event_study(spark, d):
+def event_study(spark, d, chosen=P.signals):
     """Price paths around alerts: per name first, then across names."""
     px = filled_prices(spark, d).where("px IS NOT NULL").select("entity", "day", "px")
-    a = P.signals(spark, d).select("entity", "day").join(px, ["entity", "day"]).select("entity", F.col("px").alias("p0"), "day", F.explode(F.sequence(F.lit(-21), F.lit(84))).alias("k"))
+    a = chosen(spark, d).select("entity", "day").join(px, ["entity", "day"]).select("entity", F.col("px").alias("p0"), "day", F.explode(F.sequence(F.lit(-21), F.lit(84))).alias("k"))
     a = a.select("entity", "p0", "k", F.expr("date_add(day, k)").alias("day"))
     m = a.join(px, ["entity", "day"]).groupBy("entity", "k").agg(F.avg(F.col("px") / F.col("p0")).alias("m"))
     return m.groupBy("k").agg(F.count(F.lit(1)).alias("names"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", F.lit(0.5)), 6).alias("median"))
@@ -242,13 +244,13 @@ _FW = ", ".join(f"lead(px, {h}) OVER o / px - 1 AS f{h}" for h in _H)
 
 
 @query(f"{SBASE}, {P.SIG}, dr AS (SELECT entity, day, px, coalesce(min(px) OVER (PARTITION BY entity ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING) <= 0.9 * px, false) AS c, {_FW} FROM px WINDOW o AS (PARTITION BY entity ORDER BY day)), cl AS (SELECT *, bool_or(c) OVER (PARTITION BY entity ORDER BY day ROWS BETWEEN CURRENT ROW AND 30 FOLLOWING) AS cliff, EXISTS (FROM sig s WHERE s.entity = dr.entity AND s.day = dr.day) AS alert FROM dr) SELECT alert, count(*) AS days, round(avg(cliff::INT::DOUBLE), 6) AS cliff_rate, {', '.join(f'round(avg(f{h}), 6) + 0.0 AS f{h}' for h in _H)} FROM cl WHERE px IS NOT NULL GROUP BY alert")
-def forward_table(spark, d):
+def forward_table(spark, d, chosen=P.signals):
     """Forward moves and the rate of cliffs (a tenth lost within a week that starts within thirty days) on alert days and others."""
     o = W.by_entity()
     p = filled_prices(spark, d).select("entity", "day", "px")
     p = p.withColumns({"c": F.coalesce(F.min("px").over(o.rowsBetween(1, 7)) <= 0.9 * F.col("px"), F.lit(False)), **{f"f{h}": F.lead("px", h).over(o) / F.col("px") - 1 for h in _H}})
     p = p.withColumn("cliff", F.bool_or("c").over(o.rowsBetween(0, 30))).where("px IS NOT NULL")
-    a = P.signals(spark, d).select("entity", "day", F.lit(True).alias("alert"))
+    a = chosen(spark, d).select("entity", "day", F.lit(True).alias("alert"))
     p = p.join(a, ["entity", "day"], "left").fillna(False, subset=["alert"])
     return p.groupBy("alert").agg(F.count(F.lit(1)).alias("days"), F.round(F.avg(F.col("cliff").cast("int")), 6).alias("cliff_rate"), *(r(F.avg(f"f{h}"), 6).alias(f"f{h}") for h in _H))
 
@@ -262,7 +264,11 @@ def correlations(spark, d):
 
 
 @query(f"{SBASE}, {P.RET} SELECT CASE WHEN year(day) <= 1996 THEN 'early' WHEN year(day) <= 1998 THEN 'middle' ELSE 'late' END AS era, action, count(pnl) AS n, CASE WHEN count(pnl) >= 4 THEN round(avg(pnl), 4) + 0.0 END AS mean, CASE WHEN count(pnl) >= 4 THEN round(100.0 * count(*) FILTER (pnl > 0) / count(pnl), 4) END AS hit FROM ret GROUP BY ALL")
-def era_stats(spark, d):
+def era_stats(spark, d, chosen=P.signals):
     y, n = F.year("day"), F.count("pnl")
     era = F.when(y <= 1996, "early").when(y <= 1998, "middle").otherwise("late")
-    return P.returns(spark, d).groupBy(era.alias("era"), "action").agg(n.alias("n"), F.when(n >= 4, r(F.avg("pnl"))).alias("mean"), F.when(n >= 4, F.round(100.0 * F.count_if(F.col("pnl") > 0) / n, 4)).alias("hit"))
+    return P.returns(spark, d, chosen).groupBy(era.alias("era"), "action").agg(n.alias("n"), F.when(n >= 4, r(F.avg("pnl"))).alias("mean"), F.when(n >= 4, F.round(100.0 * F.count_if(F.col("pnl") > 0) / n, 4)).alias("hit"))
+
+
+for _f in (cluster_bootstrap, start_end_coherence, fa_anatomy, per_name_table, event_study, forward_table, era_stats):
+    QUERIES[f"{_f.__name__}_all"] = partial(_f, chosen=P.every_signal)
