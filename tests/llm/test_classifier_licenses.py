@@ -73,3 +73,19 @@ def test_scan(spark, documents):
     assert licenses.scan(documents([])).count() == 0
     own = spark.createDataFrame([("Own-1.0", "no license at all")], "license string, text string")
     assert [tuple(r) for r in licenses.scan(documents(rows), own).collect()] == [(7, "Own-1.0", "text", 1)]
+
+
+def test_wrapped_and_full_texts(spark, documents):
+    """A licence is found however its lines are wrapped: no wrapped line is taken for a notice."""
+    import textwrap
+
+    wrap = lambda t, w: "\n\n".join(textwrap.fill(" ".join(p.split()), w) for p in re.split(r"\n\s*\n", t))
+    full = [("MIT", licenses.MIT), ("ISC", licenses.ISC), ("BSD-2-Clause", licenses.BSD_2), ("BSD-3-Clause", licenses.BSD_3), ("Unlicense", licenses.UNLICENSE), ("Apache-2.0", licenses.APACHE)]
+    cases = [(name, notice + wrap(text, w)) for name, text in full for w in range(44, 100) for notice in ("", "Copyright 2020 A. Person\nCopyright (c) B\n\n", "Copyright Acme Inc.\n(c) Acme\n\n")]
+    assert any(re.search("(?m)^copyright notice and this permission", t) for _, t in cases) and any(re.search("(?m)^COPYRIGHT HOLDERS", t) for _, t in cases)
+    got = {(r.doc_id, r.license, r.scope) for r in licenses.scan(documents([(k, t) for k, (_, t) in enumerate(cases)])).collect()}
+    missed = {(cases[k][0], k) for k in range(len(cases))} - {(g[1], g[0]) for g in got if g[2] == "text"}
+    assert not missed
+    assert {g for g in got if g[2] == "text"} == {(k, name, "text") for k, (name, _) in enumerate(cases)} and not any(" OR " in g[1] for g in got)
+    part = documents([(1, f"some words\n\n{licenses.BSD_2}"), (2, f"some words\n\n{licenses.BSD_3}")])
+    assert {(r.doc_id, r.license) for r in licenses.scan(part).collect()} == {(1, "BSD-2-Clause OR BSD-3-Clause"), (2, "BSD-3-Clause")}

@@ -1,9 +1,11 @@
 """Licence scan by canonical digest: normalised texts are looked up whole among the digests of known licences.
 
-A text is normalised like this: lower case; copyright lines and "all rights reserved" go; equivalent spellings become one (licence,
-sublicence, and the like); every run of other characters than letters and digits becomes one space. Its SHA-256 is joined to the
+A text is normalised like this: lines that are copyright notices go; lower case; every run of other characters than letters and digits
+becomes one space; "all rights reserved" goes; equivalent spellings become one (licence, sublicence, and the like). So how a licence is
+wrapped makes no difference. Its SHA-256 is joined to the
 digests of known texts. Units are the whole document, each paragraph and each line, so that a licence text or a notice inside a
-document is found where it stands alone; a licence of several paragraphs is also known by its long ones. Known texts are normalised by the same expressions.
+document is found where it stands alone; a licence of several paragraphs is also known by its long ones; one that several
+licences share counts as "A OR B", where the document has none of them by itself. Known texts are normalised by the same expressions.
 
 Defined cases: null and empty texts match nothing; several matches of one licence in a document are one row with a count; equal rows
 give a row each; an empty table gives no rows; a null doc_id is kept; other columns are ignored.
@@ -11,8 +13,12 @@ give a row each; an empty table gives no rows; a null doc_id is kept; other colu
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Short licence texts and notices.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -29,7 +35,19 @@ APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 
+# Full texts, without notice and title.
+BSD_2, BSD_3, UNLICENSE, APACHE = ((Path(__file__).parent / "known" / f"{n}.txt").read_text() for n in ("BSD-2-Clause", "BSD-3-Clause", "Unlicense", "Apache-2.0"))
+_TERMS = APACHE[: APACHE.index("END OF TERMS AND CONDITIONS")]
+# the conditions of a BSD licence are numbered or have other marks
+_BSD = [(name, head + text) for name, n, full in (("BSD-2-Clause", "2", BSD_2), ("BSD-3-Clause", "3", BSD_3)) for text in (full, re.sub(r"(?m)^ *\d\. ", "", full)) for head in ("", f"BSD {n}-Clause License\n\n", f"The BSD {n}-Clause License\n\n")]
+
 KNOWN: list[tuple[str, str]] = [
+    *_BSD,
+    ("Unlicense", UNLICENSE),
+    ("Unlicense", UNLICENSE[: UNLICENSE.index("For more information")]),
+    ("Apache-2.0", APACHE),
+    ("Apache-2.0", f"{_TERMS}END OF TERMS AND CONDITIONS"),
+    ("Apache-2.0", _TERMS),
     ("MIT", MIT),
     ("MIT", f"MIT License\n\n{MIT}"),
     ("MIT", f"The MIT License (MIT)\n\n{MIT}"),
@@ -65,7 +83,7 @@ KNOWN: list[tuple[str, str]] = [
     ("LicenseRef-all-rights-reserved", "All rights reserved."),
 ]
 # a longer licence is also known by each of its long paragraphs, so that it is found inside a document
-KNOWN += [(name, part) for name, text in list(KNOWN) if "\n\n" in text for part in text.split("\n\n") if len(part.split()) >= 25]
+KNOWN += [(name, part) for name, text in list(KNOWN) if "\n\n" in text for part in re.split(r"\n\s*\n", text) if len(part.split()) >= 25]
 # Equivalent spellings, longest first.
 SPELLINGS = [
     ("sublicence", "sublicense"), ("licence", "license"), ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"),
@@ -75,26 +93,34 @@ SPELLINGS = [
     ("labour", "labor"), ("modelling", "modeling"), ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"),
     ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"),
     ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("noncommercial", "non commercial"), ("copyright holder", "copyright owner"),
+    ("https", "http"),
 ]
-RESERVED = r"all\s+rights\s+reserved\s*\.?"
-COPYRIGHT = r"(?m)^[ \t>*#/;-]*(?:copyright\b|\(c\)|©)[^\n]*$"
+RESERVED = r" all rights reserved (?:(?<=[^ ] all rights reserved )|(?=[^ ]))"
+_YEAR = r"(?:\d{4}|[\[{<(][ \t]*(?i:yyyy|year))"
+# A notice has a sign, a year, "by" or a name after the word, or is a short line with a sign of its own; other lines that begin with the
+# word, or with (c) as a list's mark, are wrapped text.
+COPYRIGHT = (
+    r"(?m)^[ \t>*#/;-]*(?:©|(?i:copyright)[ \t:,-]*(?:(?i:\(c\)|©|by\b)|" + _YEAR + r")|(?i:\(c\))[ \t]*(?:(?i:copyright|by)\b|" + _YEAR + r"|(?=[^\n]{0,60}(?:\n[ \t>*#/;-]*\n|\s*\z)))"
+    r"|Copyright[ \t]+(?!(?i:holder|owner|notice|law|licen[cs]e))\p{Lu})[^\n]*$"
+)
 
 
 def normalise(text: Column) -> Column:
     """The reserved notice goes only where other words stand beside it; alone it is a notice of its own."""
-    base = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
-    bare = F.regexp_replace(base, RESERVED, " ")
-    base = F.when(bare.rlike(r"[\p{L}\p{N}]"), bare).otherwise(base)
+    # each step names the one before once: Spark would evaluate it anew for every mention
+    base = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT, " ")), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    base = F.regexp_replace(F.regexp_replace(base, " {2,}", " "), RESERVED, " ")
     for a, b in SPELLINGS:
         base = F.replace(base, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(base, r"[^\p{L}\p{N}]+", " "))
+    return F.trim(base)
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
     """digest, license; ``known`` may be a table (license, text) of any size."""
     table = known if isinstance(known, DataFrame) else spark.createDataFrame(known or KNOWN, "license string, text string")
     n = normalise(F.col("text"))
-    return table.select(F.sha2(n, 256).alias("digest"), F.length(n).alias("length"), "license").where("length > 0").dropDuplicates(["digest"])
+    rows = table.select(F.sha2(n, 256).alias("digest"), F.length(n).alias("length"), "license").where("length > 0")
+    return rows.groupBy("digest", "length").agg(F.array_join(F.sort_array(F.collect_set("license")), " OR ").alias("license"))
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -125,4 +151,8 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | DataFrame | None = None
     # an all-blank-but-one-line text matches as text and as line: the widest scope counts
     order = F.when(F.col("scope") == "text", 0).when(F.col("scope") == "paragraph", 1).otherwise(2)
     by = hits.groupBy("doc_id", "row", "license", order.alias("o"), "scope").agg(F.count(F.lit(1)).alias("n"))
-    return by.groupBy("doc_id", "row", "license").agg(F.min_by("scope", "o").alias("scope"), F.min_by("n", "o").alias("n_matches")).drop("row")
+    out = by.groupBy("doc_id", "row", "license").agg(F.min_by("scope", "o").alias("scope"), F.min_by("n", "o").alias("n_matches"))
+    # a part that several licences share says nothing where one of them is found by more
+    names, shared = F.collect_set("license").over(Window.partitionBy("row")), F.split("license", " OR ")
+    out = out.withColumn("plain", (F.size(shared) == 1) | ~F.arrays_overlap(shared, names))
+    return out.where("plain").drop("row", "plain")
