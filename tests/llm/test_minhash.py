@@ -84,3 +84,13 @@ def test_sketch_estimates_probability_jaccard():
     exact = sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in range(90)) for i in range(20, 60))
     assert abs((full[0] == full[1]).mean() - exact) < 0.012
     assert set(full[0]) == set(element[a])
+
+
+def test_repeats_do_not_hide_a_pair(spark, documents):
+    """Pairs of set Jaccard 0.82 whose own shingles occur 200 times each."""
+    rows = []
+    for k in range(20):
+        shared = [f"s{k}x{i}" for i in range(230)]
+        rows += [(2 * k + side, " ".join(shared + [f"o{k}x{side}x{i}" for i in range(20)] * 200)) for side in (0, 1)]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(documents(rows)).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}

@@ -1,10 +1,10 @@
 """Near duplicates: probability MinHash, banding, exact verification, classes.
 
 * Words are runs without ASCII white space, lowercased. A document's elements are its distinct shingles of five words (a shorter
-  document has one shingle of all its words), weighted 1 + ln(occurrences).
+  document has one shingle of all its words), of equal weight however often they occur, as links are judged by sets.
 * ProbMinHash: each element's arrivals form a Poisson process with its weight as rate, each arrival falling on a random register; a
-  register keeps the element that arrives first. Registers of two documents agree with the probability Jaccard of their weighted
-  shingles. A document stops when no element can arrive before its latest register.
+  register keeps the element that arrives first. Registers of two documents agree with the Jaccard similarity of their shingle
+  sets, which is the probability Jaccard of equal weights. A document stops when no element can arrive before its latest register.
 * Bands of five registers put documents into buckets. Equal texts (same words) are one node, the rest of this works on nodes.
 * Candidates: in each bucket all members are compared with a pivot (the member that shares most buckets). Jaccard distance d is a
   metric, so a member with d > 0.4 to the pivot links to none that is within 0.2 of it; one between is compared with
@@ -14,7 +14,7 @@
   So large groups of copies cost one comparison a member, and no group is held whole by a task.
 * Links are pairs with an exact set Jaccard of at least 0.8; classes are their connected components.
 
-Of 32 bands of five registers a pair of similarity 0.8 shares two or more with probability 0.99995. Node ids are 64-bit hashes of the words.
+Of 32 bands of five registers a pair of similarity 0.8 shares one or more with probability 0.999997. Node ids are 64-bit hashes of the words.
 
 Defined cases: null, empty and blank texts are each their own class; repeated rows and equal texts share a class; a null doc_id takes the class
 of its text's least id; an empty table gives no rows; columns other than id and text are ignored.
@@ -132,8 +132,8 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
             data, bounds = utf8(pc.utf8_lower(batch.column(1)))
             for lo, hi in chunks(bounds, 2_000_000):
                 base = bounds[lo]
-                doc, g, times, key, counts = shingles(data[base : bounds[hi]], bounds[lo : hi + 1] - base)
-                kept = prob_minhash(doc, g, 1 + np.log(times), hi - lo, bands * rows).reshape(hi - lo, bands, rows)
+                doc, g, _, key, counts = shingles(data[base : bounds[hi]], bounds[lo : hi + 1] - base)
+                kept = prob_minhash(doc, g, np.ones(len(g)), hi - lo, bands * rows).reshape(hi - lo, bands, rows)
                 bucket = np.zeros((hi - lo, bands), np.uint64)
                 for r in range(rows):
                     bucket = mix((bucket ^ kept[:, :, r]) * U(ODD) + U(r + 1))
