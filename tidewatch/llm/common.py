@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -17,29 +18,64 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (single-machine tests) a temporary folder is set up.
+    Where that setting is absent, a single machine (tests) gets a temporary folder; a cluster gets an error, as its executors do not
+    see each other's local folders.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
         found = sc.getCheckpointDir()
     return found
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+class Scratch:
+    """Durable tables written inside ``with Scratch(spark):`` are deleted at its end, but for those written with ``outer=True``, which
+    belong to the enclosing block, if any. Whatever leaves the block must not read a deleted table lazily."""
+
+    _threads = threading.local()
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    @classmethod
+    def open(cls) -> list[Scratch]:
+        """The blocks this thread is in, outermost first."""
+        if not hasattr(cls._threads, "open"):
+            cls._threads.open = []
+        return cls._threads.open
+
+    def __enter__(self) -> Scratch:
+        Scratch.open().append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scratch.open().remove(self)
+        remove(self.spark, self.paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def durable(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage: what was computed survives the loss of any executor and is not computed again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewatch-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, "2000")  # whole texts: smaller batches hold less memory on either side
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH, before)
+    if int(spark.conf.get(BATCH)) > 2000:  # whole texts: smaller batches hold less memory on either side; set once for the session
+        spark.conf.set(BATCH, "2000")
+    blocks = Scratch.open()[: -1 if outer else None]
+    if blocks:
+        blocks[-1].paths.append(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

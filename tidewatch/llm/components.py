@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import durable
+from tidewatch.llm.common import Scratch, durable
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -18,15 +18,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (a, b) -> (node, component) for each linked node; the component is its least node."""
-    edges = durable(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        edges = durable(_star(_star(both, True), False).distinct(), "edges")
-        # the same edges twice: every node hangs on its least one
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 32)))).first()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    """links (a, b) -> (node, component) for each linked node; the component is its least node. A durable table."""
+    with Scratch(links.sparkSession):
+        edges = durable(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+        before = None
+        while True:
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            edges = durable(_star(_star(both, True), False).distinct(), "edges")
+            # the same edges twice: every node hangs on its least one
+            now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 32)))).first()
+            if now == before:
+                break
+            before = now
+        top = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        return durable(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(top), "components", outer=True)

@@ -7,34 +7,39 @@
   sets, which is the probability Jaccard of equal weights. A document stops when no element can arrive before its latest register.
 * Bands of five registers put documents into buckets. Equal texts (same words) are one node, the rest of this works on nodes.
 * Candidates: in each bucket all members are compared with a pivot (the member that shares most buckets). Jaccard distance d is a
-  metric, so a member with d > 0.4 to the pivot links to none that is within 0.2 of it; one between is compared with
-  those within 0.2, where they are not in one class yet; and those that did not link are compared among themselves, where they
-  are of several classes: both in blocks of ``BLOCK``, inside a task, by a product of incidence matrices, from which
-  only links come out. Groups above ``LARGE`` (documents that share a common line, say) are first dealt anew by every second bucket they share.
-  So large groups of copies cost one comparison a member, and no group is held whole by a task.
+  metric, so a member with d > 0.4 to the pivot links to none that is within 0.2 of it; one between is compared with those within 0.2,
+  where they are not in one class yet. So large groups of copies cost one comparison a member.
+* What did not link to a bucket's pivot is joined by prefixes, whatever the size of its bucket: with shingles ordered from rare to frequent,
+  two sets of Jaccard similarity s share one of the first n - ceil(s n) + 1 shingles of either. Texts that merely share a common line or
+  passage have rare shingles of their own and do not meet. Groups of one prefix shingle first exchange counts of shingles by hash class,
+  which bound the overlap from above; only members with a partner within the bound exchange their shingles. Both steps are exact
+  and work in blocks of ``BLOCK`` members, so no group is held whole by a task; only members and links come out, never pairs.
 * Links are pairs with an exact set Jaccard of at least 0.8; classes are their connected components.
 
-Of 32 bands of five registers a pair of similarity 0.8 shares one or more with probability 0.999997. Node ids are 64-bit hashes of the words.
+Of 32 bands of five registers a pair of similarity 0.8 shares one or more with probability 0.999997. Node ids are 64-bit hashes of the words,
+shingles 32-bit hashes. Very long texts are sketched in whole: a text is one row, and its shingles are held by the task that has the row.
 
-Defined cases: null, empty and blank texts are each their own class; repeated rows and equal texts share a class; a null doc_id takes the class
-of its text's least id; an empty table gives no rows; columns other than id and text are ignored.
+Defined cases: null, empty and blank texts are each their own class; repeated rows and equal texts share a class; rows that share an id but
+not the text are judged each by its own text; a null doc_id takes the class of its text's least id; ties for a class's first row go to the
+least id, then the least hash of the text; an empty table gives no rows; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import chunks, durable, shuffle_width, utf8
+from tidewatch.llm.common import Scratch, chunks, durable, shuffle_width, utf8
 from tidewatch.llm.components import components
 from tidewatch.llm.repeats import BYTE, MASK, ODD, U, gram_hash, mix
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
-BLOCK, LARGE = 128, 4096
+BLOCK = 128
+PARTS = 64
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _INVERSE = pow(ODD, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -120,10 +125,10 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs:
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, node (hash of the words; null without words), bands (bucket ids), shingles (sorted 32-bit hashes)."""
+    """doc_id, mark (hash of the text), node (hash of the words; null without words), bands (bucket ids), shingles (sorted 32-bit hashes)."""
     import pyarrow as pa
 
-    schema = "doc_id long, node long, bands array<long>, shingles binary"
+    schema = "doc_id long, mark long, node long, bands array<long>, shingles binary"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow.compute as pc
@@ -143,9 +148,14 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                 sets = [np.unique(small[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
                 empty = counts == 0
                 offsets = pa.array(np.arange(0, bands * (hi - lo) + 1, bands, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(key.view(np.int64), mask=empty), pa.ListArray.from_arrays(offsets, pa.array(bucket.ravel())), pa.array(sets, pa.binary())], names=["doc_id", "node", "bands", "shingles"])
+                columns = [
+                    batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(key.view(np.int64), mask=empty),
+                    pa.ListArray.from_arrays(offsets, pa.array(bucket.ravel())), pa.array(sets, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "bands", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark")).mapInArrow(run, schema)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -167,7 +177,8 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def linked(sets: list[np.ndarray], own: np.ndarray, side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different classes (and, where there are two sides, from both) with at least that Jaccard similarity."""
+    """Pairs of different classes (and, where there are two sides, from both) with at least that Jaccard similarity; of each member one to
+    each class, which connects as much as all do."""
     sizes = np.array([len(x) for x in sets])
     member = np.repeat(np.arange(len(sets)), sizes)
     _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -181,19 +192,33 @@ def linked(sets: list[np.ndarray], own: np.ndarray, side: np.ndarray, similarity
         incidence = np.zeros((len(sets), 4096), np.float32)
         incidence[member[i:j], code[i:j] - lo] = 1
         both += incidence @ incidence.T
+    i, j = np.nonzero(np.triu(within(both, sizes, own, side, similarity), 1))
+    # classes are numbered, so that (member, class) is one number
+    named = np.unique(own, return_inverse=True)[1]
+    first = np.unique(i * len(sets) + named[j], return_index=True)[1] if len(i) else np.zeros(0, np.int64)
+    return i[first], j[first]
+
+
+def within(both: np.ndarray, sizes: np.ndarray, own: np.ndarray, side: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of different classes (and sides, if there are two) reach the similarity with that much in common."""
     close = both >= similarity * (sizes[:, None] + sizes - both) - 1e-6
     close &= own[:, None] != own
     if len(set(side.tolist())) > 1:
         close &= side[:, None] != side
-    return np.nonzero(np.triu(close, 1))
+    return close
 
 
-def compared(rows: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) among the members of each bucket; rows: bucket, node, own (class), n (members). A bucket of n members is cut
-    into n / BLOCK blocks, and each two blocks meet in one task at a time."""
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """rows: bucket, node, own (class), n (members). A bucket of n members is cut into n / BLOCK blocks, and each two blocks have a meeting."""
     count = F.ceil(F.col("n") / BLOCK).cast("int")
     cut = rows.withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    return _meet(cut.select("node", "own", F.col("block").alias("side"), F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("meeting")), held, similarity)
+    key = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
+    return cut.select("bucket", "node", "own", F.when(F.col("block") == F.col("other"), 0).otherwise(F.col("block")).alias("side"), key.alias("meeting"))
+
+
+def compared(rows: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) among the members of each bucket."""
+    return _meet(in_blocks(rows), held, similarity)
 
 
 def compared_sides(near: DataFrame, ring: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
@@ -206,97 +231,155 @@ def compared_sides(near: DataFrame, ring: DataFrame, held: DataFrame, similarity
     sides = []
     for side, rows in enumerate((near, ring)):
         own, other = f"b{side}", f"b{1 - side}"
-        cut = rows.join(both, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col(own)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        cut = rows.join(both, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col(own)).cast("int"))
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         key = F.xxhash64("bucket", *(("block", "other") if side == 0 else ("other", "block")))
-        sides.append(cut.select("node", "own", F.lit(side).alias("side"), key.alias("meeting")))
+        sides.append(cut.select("bucket", "node", "own", F.lit(side).alias("side"), key.alias("meeting")))
     return _meet(sides[0].unionByName(sides[1]), held, similarity)
 
 
-def _meet(rows: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """rows: meeting, node, own, side."""
+def met(rows: DataFrame, judge: Callable[[list], Iterable[tuple]], schema: str) -> DataFrame:
+    """rows: meeting, ...; ``judge`` gets the members of one meeting (without its number) at a time."""
     import pyarrow as pa
 
-    met = rows.join(held, "node")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator) -> Iterator:
-        state: list = [None, []]
-        out: list = []
+        meeting, members, out = None, [], []
 
-        def flush() -> None:
-            members, state[1] = state[1], []
-            if len(members) > 1:
-                node, own, side, sets = zip(*members, strict=True)
-                node = np.array(node)
-                i, j = linked([np.frombuffer(x, np.uint32) for x in sets], np.array(own), np.array(side), similarity)
-                out.extend(zip(node[i].tolist(), node[j].tolist(), strict=True))
+        def batch_of() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+            out.clear()
+            return done
 
         for batch in batches:
-            for meeting, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if meeting != state[0]:
-                    flush()
-                    state[0] = meeting
-                state[1].append(member)
+            for at, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != meeting:
+                    if len(members) > 1:
+                        out.extend(judge(members))
+                    meeting, members = at, []
+                members.append(member)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
-                out.clear()
-        flush()
+                yield batch_of()
+        if len(members) > 1:
+            out.extend(judge(members))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+            yield batch_of()
 
     parts = shuffle_width(rows.sparkSession)
-    return met.select("meeting", "node", "own", "side", "shingles").repartition(parts, "meeting").sortWithinPartitions("meeting").mapInArrow(run, "a long, b long")
+    return rows.repartition(parts, "meeting").sortWithinPartitions("meeting").mapInArrow(run, schema)
+
+
+def _meet(rows: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """rows: bucket, meeting, node, own, side."""
+
+    def judge(members: list) -> Iterable[tuple]:
+        node, own, side, sets = zip(*members, strict=True)
+        node = np.array(node)
+        i, j = linked([np.frombuffer(x, np.uint32) for x in sets], np.array(own), np.array(side), similarity)
+        return zip(node[i].tolist(), node[j].tolist(), strict=True)
+
+    return met(rows.join(held, "node").select("meeting", "node", "own", "side", "shingles"), judge, "a long, b long")
+
+
+def promising(rows: DataFrame, counts: DataFrame, similarity: float) -> DataFrame:
+    """Members (bucket, node, own) of each bucket that may link to another class; rows: bucket, node, own, n; counts: node, counts (shingles by
+    hash class). Two sets have no more in common than the sum of the lesser counts."""
+
+    def judge(members: list) -> Iterable[tuple]:
+        bucket, node, own, side, counted = zip(*members, strict=True)
+        parts = np.array([np.frombuffer(x, np.uint16) for x in counted]).astype(np.int32)
+        both = np.zeros((len(parts), len(parts)), np.int32)
+        for k in range(parts.shape[1]):
+            both += np.minimum(parts[:, k, None], parts[:, k])
+        some = within(both, parts.sum(1), np.array(own), np.array(side), similarity).any(1)
+        return [(b, n, o) for b, n, o, ok in zip(bucket, node, own, some, strict=True) if ok]
+
+    cut = in_blocks(rows).join(counts, "node").select("meeting", "bucket", "node", "own", "side", "counts")
+    return met(cut, judge, "bucket long, node long, own long").distinct()
+
+
+def several(rows: DataFrame) -> DataFrame:
+    """Buckets (bucket, node, own) with members of several classes, one of those that have the same members; n: members."""
+    g = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("lo"), F.max("own").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.pmod(F.xxhash64("node", "node"), F.lit(1 << 32))).alias("s"))
+    one = g.where("lo != hi").groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket"))
+    return rows.join(one.select("bucket", "n"), "bucket")
+
+
+def prefix_links(rest: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """All links (a, b) needed among rest (node, own: its class so far), by a prefix join."""
+    import pyarrow as pa
+
+    def tokens(batches: Iterator) -> Iterator:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(2)]
+            node, own = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), [len(x) for x in sets]) for c in range(2))
+            token = np.concatenate([*sets, np.zeros(0, np.uint32)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(own), pa.array(token)], names=["node", "own", "token"])
+
+    def counted(batches: Iterator) -> Iterator:
+        for batch in batches:
+            sets = [np.bincount(np.frombuffer(x.as_buffer(), np.uint32) % PARTS, minlength=PARTS) for x in batch.column(1)]
+            # a count beyond 16 bits stays the greatest, so that it bounds nothing
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes() for c in sets], pa.binary())], names=["node", "counts"])
+
+    own = durable(rest.join(held, "node").select("node", "own", "shingles"), "rest")
+    counts = durable(own.select("node", "shingles").mapInArrow(counted, "node long, counts binary"), "counts")
+    rows = durable(own.mapInArrow(tokens, "node long, own long, token long"), "tokens")
+    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ranked = rows.join(often, "token", "left").groupBy("node", "own").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("all"))
+    size = F.size("all")
+    prefix = F.slice("all", 1, (size - F.ceil(size * similarity - 1e-9) + 1).cast("int"))
+    groups = ranked.select("node", "own", F.explode(prefix).alias("t")).where("t.n > 1").select(F.col("t.token").alias("bucket"), "node", "own")
+    some = durable(promising(several(durable(groups, "prefixes")), counts, similarity), "promising")
+    return compared(several(some), own.select("node", "shingles"), similarity)
 
 
 def near_links(nodes: DataFrame, shingles_of: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
     """Links (a, b) that connect all nodes of a class; nodes: node, bands; shingles_of: node, shingles. None without candidates."""
     far = 1 - similarity + 1e-12
-    rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = durable(rows.join(sizes, "bucket"), "buckets")
-    if shared.isEmpty():
-        return None
-    score = durable(shared.groupBy("node").agg(F.sum("n").alias("score")), "scores")
-    active = shared.select("bucket", "node").join(score, "node")
-    held = durable(shingles_of.join(score.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
-    pivot = active.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
-    tested = durable(active.select("bucket", "node").join(pivot, "bucket").where("node != pivot"), "tested")
-    found = verified(tested.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), held)
-    links = found.where(F.col("d") <= far).select("a", "b")
-    classes = components(links)
-    by_node, by_pivot = classes.withColumnRenamed("component", "own"), classes.select(F.col("node").alias("pivot"), F.col("component").alias("its"))
-    judged = tested.join(found.withColumnsRenamed({"a": "node", "b": "pivot"}), ["node", "pivot"])
-    judged = judged.join(by_node, "node", "left").join(by_pivot, "pivot", "left").withColumn("own", F.coalesce("own", "node")).withColumn("its", F.coalesce("its", "pivot"))
-    judged = durable(judged.select("bucket", "node", "d", "own", "its"), "judged")
-    # between one and two radii of the pivot and not of its class: against those within one
-    ring = judged.where((F.col("d") > far) & (F.col("d") <= 2 * far) & (F.col("own") != F.col("its"))).select("bucket", "node", "own")
-    near = judged.where((F.col("d") > 0) & (F.col("d") <= far)).select("bucket", "node", "own")
-    if not ring.isEmpty():
-        links = links.unionByName(compared_sides(near, ring, held, similarity))
-    # those that did not link, where they are of several classes
-    of_several = lambda x: x.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo != hi").select("bucket", "n")
-    rest = judged.where(F.col("d") > far).select("bucket", "node", "own")
-    rest = durable(rest.join(of_several(rest), "bucket"), "rest")
-    links = links.unionByName(compared(rest.where(F.col("n") <= LARGE), held, similarity))
-    large = rest.where(F.col("n") > LARGE)
-    if not large.isEmpty():
-        dealt = large.select("bucket", "node", "own").join(nodes, "node").select("node", "own", F.col("bucket").alias("first"), F.explode("bands").alias("second")).where("first != second")
-        dealt = durable(dealt.select(F.xxhash64(F.least("first", "second"), F.greatest("first", "second")).alias("bucket"), "node", "own").dropDuplicates(["bucket", "node"]), "dealt")
-        links = links.unionByName(compared(dealt.join(of_several(dealt), "bucket"), held, similarity))
-    return durable(links.distinct(), "links")
+    with Scratch(nodes.sparkSession):
+        rows = nodes.select("node", F.explode("bands").alias("bucket"))
+        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        shared = durable(rows.join(sizes, "bucket"), "buckets")
+        if shared.isEmpty():
+            return None
+        score = durable(shared.groupBy("node").agg(F.sum("n").alias("score")), "scores")
+        active = shared.select("bucket", "node").join(score, "node")
+        held = durable(shingles_of.join(score.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
+        pivot = active.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
+        tested = durable(active.select("bucket", "node").join(pivot, "bucket").where("node != pivot"), "tested")
+        found = verified(tested.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), held)
+        links = found.where(F.col("d") <= far).select("a", "b")
+        classes = components(links)
+        by_node, by_pivot = classes.withColumnRenamed("component", "own"), classes.select(F.col("node").alias("pivot"), F.col("component").alias("its"))
+        judged = tested.join(found.withColumnsRenamed({"a": "node", "b": "pivot"}), ["node", "pivot"])
+        judged = judged.join(by_node, "node", "left").join(by_pivot, "pivot", "left").withColumn("own", F.coalesce("own", "node")).withColumn("its", F.coalesce("its", "pivot"))
+        judged = durable(judged.select("bucket", "node", "d", "own", "its"), "judged")
+        # between one and two radii of the pivot and not of its class: against those within one
+        ring = judged.where((F.col("d") > far) & (F.col("d") <= 2 * far) & (F.col("own") != F.col("its"))).select("bucket", "node", "own")
+        near = judged.where((F.col("d") > 0) & (F.col("d") <= far)).select("bucket", "node", "own")
+        if not ring.isEmpty():
+            links = links.unionByName(compared_sides(near, ring, held, similarity))
+        # those that did not link to the pivot of a bucket that they share with another class of the kind
+        rest = durable(several(judged.where(F.col("d") > far).select("bucket", "node", "own")).select("node", "own").distinct(), "unlinked")
+        if not rest.isEmpty():
+            links = links.unionByName(prefix_links(rest, held, similarity))
+        return durable(links.distinct(), "links", outer=True)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), has_words."""
+    """doc_id, mark (hash of the text), class_id (the least doc_id of its class), has_words, leads (the class's first row, and rows equal to it)."""
     table = durable(sketches(docs), "sketches")
-    ids = table.select("doc_id", "node")
-    nodes = durable(table.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "nodes")
+    ids = table.select("doc_id", "mark", "node")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    nodes = durable(table.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), first, F.first("bands").alias("bands")), "nodes")
     links = near_links(nodes.select("node", "bands"), table.select("node", "shingles"), similarity)
-    least = nodes.select("node", "least")
+    classes = nodes.select("node", F.col("least").alias("class_id"), "first")
     if links is not None:
-        classes = components(links)
-        named = least.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        top = named.groupBy("component").agg(F.min("least").alias("class_id"))
-        least = named.join(top, "component").select("node", "class_id")
-    else:
-        least = least.withColumnRenamed("least", "class_id")
-    return ids.join(least, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.col("node").isNotNull().alias("has_words"))
+        named = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        top = named.groupBy("component").agg(F.min("least").alias("class_id"), F.min("first").alias("first"))
+        classes = named.select("node", "component").join(top, "component").select("node", "class_id", "first")
+    named, without = ids.join(classes, "node", "left"), F.col("node").isNull()
+    leads = without | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")))
+    return named.select("doc_id", "mark", F.when(without, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (~without).alias("has_words"), leads.alias("leads"))
