@@ -42,3 +42,21 @@ def test_pipeline(spark, documents, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_rows_that_share_an_id_are_judged_each(spark, documents, tmp_path):
+    rng = random.Random(3)
+    line = lambda n=30: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    good, other, alone, nameless = line(), line(), line(), line(400)
+    rows = [(5, good), (5, "short"), (7, other), (7, other + " end"), (7, alone), (7, alone), (None, nameless), (8, None), (9, " \n")]
+    docs = documents(rows).select(*corpus_pipeline.COLUMNS)
+    kept = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([r for r in rows if len((r[1] or "").split()) >= 20], key=str)
+    left = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    texts = sorted((r.text or "") for r in left)
+    assert len([t for t in texts if t.startswith(other)]) == 1 and texts.count(alone) == 1 and good in texts and nameless in texts
+    near = documents([(None, nameless), (3, nameless + " end"), (4, alone)]).select(*corpus_pipeline.COLUMNS)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, near, str(tmp_path)).collect()) == [3, 4]
+    empty = documents([]).select(*corpus_pipeline.COLUMNS)
+    assert [f(spark, empty, str(tmp_path)).count() for f in (corpus_pipeline.quality, corpus_pipeline.near_duplicates)] == [0, 0]

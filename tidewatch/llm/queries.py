@@ -79,8 +79,9 @@ m AS (
   FROM d JOIN w0 USING (r) LEFT JOIN dup USING (r) LEFT JOIN cov USING (r)),
 j AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM m),
 h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM j GROUP BY source),
-p0 AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v, count(*) AS k FROM h),
-p AS (SELECT m, CASE WHEN k < 2 OR v <= 0 OR m * (1 - m) <= 0 THEN 1000.0::DOUBLE ELSE least(1000.0::DOUBLE, greatest(1.0::DOUBLE, m * (1 - m) / v - 1)) END AS s FROM p0),
+p0 AS (SELECT sum(f) / sum(n) AS m, sum(f) AS f, sum(n) AS n, sum(n * n) AS nn, sum(f * f / n) AS ff, count(*) AS k FROM h),
+p1 AS (SELECT *, (ff - f * m - (k - 1) * m * (1 - m)) / nullif(n - nn / n, 0) AS v FROM p0),
+p AS (SELECT m, CASE WHEN k < 2 OR v IS NULL OR v <= 1e-12 OR m * (1 - m) <= 0 THEN 1000.0::DOUBLE ELSE least(1000.0::DOUBLE, greatest(1.0::DOUBLE, m * (1 - m) / v - 1)) END AS s FROM p1),
 bad AS (SELECT source, (f + m * s) / (n + s) > 0.5 AS rejected FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM j JOIN bad ON j.source IS NOT DISTINCT FROM bad.source
