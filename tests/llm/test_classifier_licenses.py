@@ -1,8 +1,13 @@
 """Quality classifier (held-out accuracy) and licence scan."""
 
 import hashlib
+import math
 import random
 import re
+import statistics
+import zlib
+
+import zstandard
 
 from pyspark.sql import functions as F
 
@@ -27,6 +32,42 @@ def test_classifier(spark, documents):
     assert quality_classifier.score(documents([]), labels).count() == 0
 
 
+def test_scores_against_plain_python(spark, documents):
+    """The whole score again: training in plain Python from the labelled rows, then blocks, medians and the logistic curve one by one."""
+    rng = random.Random(8)
+    words = {1: "the river house over green walked slowly and then".split(), 0: "$$$ ### BUY CLICK WIN now free cheap".split()}
+    rows = [(i, " ".join(rng.choices(words[i % 2], k=rng.randrange(1, 200)))) for i in range(300)]
+    rows += [(300, None), (301, ""), (302, "ж" * 700), (303, "the river house " * 20_000), (304, "x" * 129)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    (good, bad), intercept, slope = quality_classifier.fit(documents(rows), labels)
+    out = {r.doc_id: r for r in quality_classifier.score(documents(rows), labels).collect()}
+    sizes = {}
+    for name, raw in (("good", good), ("bad", bad)):
+        packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes[name] = lambda block, packer=packer: len(packer.compress(block))
+    for doc, text in rows:
+        raw = (text or "").encode()
+        blocks = [raw[i : i + 128] for i in range(0, len(raw), 128)]
+        if len(blocks) > 1 and len(blocks[-1]) < 32:
+            blocks[-2:] = [blocks[-2] + blocks[-1]]
+        parts = [(sizes["bad"](b) - sizes["good"](b)) / (sizes["bad"](b) + sizes["good"](b)) for b in blocks]
+        x = statistics.median(parts) if parts else 0.0
+        want = 1 / (1 + math.exp(-max(-30, min(30, intercept + slope * x))))
+        assert abs(out[doc].score - want) < 1e-9
+        assert out[doc].held_out == (zlib.crc32(str(doc).encode()) % 5 == 0)
+
+
+def test_every_block_of_a_sampled_text_trains(spark, documents, monkeypatch):
+    """Good and bad texts differ only past their first 20,000 bytes."""
+    rng = random.Random(9)
+    common = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(4000)) for _ in range(24)]
+    tail = {0: "zz qq vv ww " * 2500, 1: "the river house over green " * 1200}
+    rows = [(i, common[i] + tail[i % 2]) for i in range(24)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(24)], "doc_id long, quality int, toxic int")
+    (good, bad), _, _ = quality_classifier.fit(documents(rows), labels)
+    assert b"river house" in good and b"river house" not in bad and b"zz qq" in bad
+
+
 def test_labels_of_held_out_rows_are_not_read(spark, documents):
     rows = [(i, f"good words here {i} " * 20 if i % 2 else f"### $$$ {i} " * 20) for i in range(200)]
     one = [(i, i % 2, 0) for i in range(200)]
