@@ -7,14 +7,17 @@ enough of its five-word shingles occur in some item, and windows without them ar
 fingerprint lies within 23 bits has a block with at most two, so all of them are found. Candidates are verified by the exact
 weighted Jaccard similarity of the shingle counts.
 
-Items are taken in blocks of ``ITEMS``, each block being broadcast; the document side is never shuffled.
+Items are taken in blocks of at most ``ITEMS`` items and ``BLOCK_BYTES`` bytes (one longer item is a block of its own), each block being
+broadcast; a Python worker builds a block's index once. The document side is never shuffled; it is read once for each block. The benchmark
+passes through the driver block by block and is never held there whole.
 
 Defined cases: null and empty texts and items match nothing; an item of under five words has one shingle of all its words; a document
-somewhat shorter than an item is one window; equal items each match; equal rows give a row each; other columns are ignored.
+somewhat shorter than an item is one window; very long texts are searched whole; equal items each match; a null item_id is kept; equal rows give a row each; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +31,7 @@ from tidewatch.llm.repeats import U, gram_hash
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, PROBE = 23, 2
-ITEMS = 20_000
+ITEMS, BLOCK_BYTES = 20_000, 8 << 20
 _WORD = np.array([chr(c).isalnum() or c >= 128 for c in range(256)])
 
 
@@ -139,15 +142,29 @@ class Items:
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     block: list[tuple[int, str]] = []
+    size = 0
     for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) >= ITEMS:
+        more = 4 * len(r[1])
+        if block and (len(block) >= ITEMS or size + more > BLOCK_BYTES):
             yield block
-            block = []
+            block, size = [], 0
+        block.append((r[0], r[1]))
+        size += more
     if block:
         yield block
 
 
+_kept: dict[str, Items] = {}
+
+
+def indexed(name: str, block) -> Items:
+    """The index of a block, built once by each worker; the last one is kept."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Items(block.value)
+    return _kept[name]
+
+
 def _searched(text_column, items: Items, similarity: float) -> Iterator[tuple[int, dict]]:
     import pyarrow.compute as pc
 
@@ -166,8 +183,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     for block in blocks(benchmark):
         shared = base.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator, shared=shared) -> Iterator:
-            items = Items(shared.value)
+        def run(batches: Iterator, shared=shared, name=uuid.uuid4().hex) -> Iterator:
+            items = indexed(name, shared)
             for batch in batches:
                 rows = [(batch.column(0)[lo + d].as_py(), item, *x) for lo, found in _searched(batch.column(1), items, similarity) for (d, item), x in found.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
@@ -184,8 +201,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     for block in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator, shared=shared) -> Iterator:
-            items = Items(shared.value)
+        def run(batches: Iterator, shared=shared, name=uuid.uuid4().hex) -> Iterator:
+            items = indexed(name, shared)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for lo, found in _searched(batch.column(at), items, similarity):
