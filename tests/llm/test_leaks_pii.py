@@ -68,7 +68,7 @@ def test_entities_are_replaced_alike_everywhere(spark, documents):
         (4, "Anna Smith met Anna Jones, Peter Smith and Ольга Петрова; IBAN DE89 3704 0044 0532 0130 00; ssn 123-45-6789"),
         (5, "plain text without anything, year 2020 and 12 eggs"), (6, None), (7, ""), (None, "call +1 (212) 555-0187"), (1, "x@y.example.org"),
     ]
-    got = {(r.doc_id, r.kinds): r for r in pii.pseudonymise(documents(rows), carry=["source", "length"]).collect()}
+    got = {(r.doc_id, r.kinds): r for r in pii.pseudonymise(documents(rows), "key", carry=["source", "length"]).collect()}
     assert len(got) == len(rows) and {r.length for r in got.values()} == {"x"}
     text = {k[0]: r.text for k, r in got.items() if k != (1, "email")}
     for secret in ("jane", "555-0187", "4111 1111", "1111111111111111", "04dbeb", "10.20.30.40", "Smith", "Anna", "Ольга", "DE89 3704", "123-45-6789"):
@@ -84,7 +84,7 @@ def test_entities_are_replaced_alike_everywhere(spark, documents):
     assert people[0] == people[2] in pii.GIVEN["f", "latin"] and people[1] == people[5] != people[3] and people[4] in pii.GIVEN["m", "latin"] and people[6] in pii.GIVEN["f", "cyrillic"]
     assert pii.mod97(re.search(r"IBAN (.+?);", text[4])[1].replace(" ", "")) == 1
     assert (text[5], text[6], text[7]) == (rows[4][1], None, "")
-    assert pii.pseudonymise(documents([])).count() == 0
+    assert pii.pseudonymise(documents([]), "key").count() == 0
 
 
 def test_permutation_and_collisions(spark):
@@ -95,3 +95,63 @@ def test_permutation_and_collisions(spark):
     out = pii.surrogates(spark.createDataFrame(rows, "kind string, entity string"), "key").collect()
     new = [r.surrogate for r in out]
     assert len(set(new)) == 300 and not set(new) & {r[1] for r in rows}
+
+
+def test_persons_of_any_script_and_their_parts():
+    found = lambda t: [(t[a:b], part, e) for a, b, kind, part, e in pii.entities(t) if kind == "person"]
+    assert found("Anna Müller called.") == [("Anna Müller", "", "Anna Müller")]
+    assert found("John O'Brien, José de la Cruz, Mohammed Ali and Иван Соловьёв-Чёрный") == [(x, "", x) for x in ("John O'Brien", "José de la Cruz", "Mohammed Ali", "Иван Соловьёв-Чёрный")]
+    assert found("Anna Smith met Peter\nSmith. Later Smith and Anna left") == [("Anna Smith", "", "Anna Smith"), ("Peter\nSmith", "", "Peter Smith"), ("Smith", "surname", "Peter Smith"), ("Anna", "given", "Anna Smith")]
+    assert found("Dr. Kowalczyk saw Frau Inés Ōtani; my name is Zainab Okafor") == [("Kowalczyk", "", "Kowalczyk"), ("Inés Ōtani", "", "Inés Ōtani"), ("Zainab Okafor", "", "Zainab Okafor")]
+    assert found("Dr. Smith and Anna Smith") == [("Smith", "surname", "Anna Smith"), ("Anna Smith", "", "Anna Smith")]
+    assert found("Ines, to. The paul smith of Annapolis Smith") == [] and found("Maria is here") == []
+    key = pii._key("key")
+    for name in ("Anna Müller", "José de la Cruz", "Иван Соловьёв", "Wei Żółć"):
+        new = pii.surrogate("person", name, key)
+        assert [w.istitle() or w in ("de", "la") for w in new.split()] == [True] * len(name.split()) and len(new.split()[-1]) == len(name.split()[-1])
+        assert all(a != b for a, b in zip(new.split()[-1:], name.split()[-1:], strict=True))
+        if " de la " in name:
+            assert " de la " in new
+    assert [e[2] for e in pii.entities("from 2001:db8::ff00:42:8329, std::vector, 12:30:45 and 2001:0DB8:0000:0000:0000:FF00:0042:8329")] == ["ipv6", "ipv6"]
+
+
+def test_rewriting_against_known_spans(spark, documents):
+    """Texts put together from plain parts and entities: plain parts stay to the letter, entities get one surrogate each, no two the same."""
+    rng = random.Random(5)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    known = {f"{letters(6)}.{letters(4)}@{letters(5)}.example": "email" for _ in range(60)}
+    known |= {f"+49 {digits(3)} {digits(7)}": "phone" for _ in range(40)} | {f"10.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}": "ip" for _ in range(40)}
+    known |= {f"{g} {letters(5).title()}": "person" for g in ("Anna", "Hugo", "Ольга") for _ in range(20)}
+    plain = ["nothing here, ", "only words\n", "ß and 漢字 too; ", "the year 1999 and ", "x" * 50_000 + " "]
+    rows, parts = [], []
+    for d in range(60):
+        own = [rng.choice(plain if k % 2 == 0 else list(known)) for k in range(rng.randrange(1, 12))]
+        rows.append((d // 2, "".join(p if k % 2 == 0 else f"<{p}>" for k, p in enumerate(own))))
+        parts.append(own)
+    new: dict[str, set] = {}
+    got = {}
+    for r in pii.pseudonymise(documents(rows), "key").collect():
+        got.setdefault(r.doc_id, []).append((r.text, r.n_entities))
+    for k, ((doc, text), own) in enumerate(zip(rows, parts, strict=True)):
+        pattern = "".join(re.escape(p) if i % 2 == 0 else "<(.+?)>" for i, p in enumerate(own))
+        fits = [m for t, n in got[doc] if n == len(own) // 2 and (m := re.fullmatch(pattern, t, re.S))]
+        assert fits, text[:200]
+        if len(got[doc]) == 2 and rows[k ^ 1][1] != text and len(fits) == 1:
+            for e, s in zip(own[1::2], fits[0].groups(), strict=True):
+                new.setdefault(e, set()).add(s)
+    assert len(new) > 80 and all(len(s) == 1 for s in new.values())
+    flat = [next(iter(s)) for s in new.values()]
+    assert len(set(flat)) == len(flat) and not set(flat) & set(known)
+
+
+def test_attempts_end_where_every_value_of_a_shape_occurs(spark):
+    rows = [("person", f"{g} {a}{b}") for g in pii.GIVEN["m", "cyrillic"] for a in "ЛР" for b in "аеи"] + [("person", x + y) for x in "BCDFGHJKLMNPQRSTVWXYZ" for y in "aeiou"]
+    out = pii.surrogates(spark.createDataFrame(rows, "kind string, entity string"), "key").collect()
+    assert len({r.surrogate for r in out}) == len(rows) and not {r.surrogate for r in out} & {e for _, e in rows}
+
+
+def test_key_of_the_session(spark):
+    spark.conf.unset(pii.KEY)
+    assert pii.session_key(spark) == pii.session_key(spark) == spark.conf.get(pii.KEY)
+    spark.conf.unset(pii.KEY)
