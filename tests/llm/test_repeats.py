@@ -133,3 +133,42 @@ def test_short_runs_of_many_words(spark, documents, seed):
     mine = {(r.doc_id, r.text, r.n_removed, r.n_runs) for r in got}
     assert {x for x in mine if x[0] < 103} == {x for x in brute_runs(rows) if x[0] < 103}
     assert {x for x in mine if x[0] >= 103} == {(103, rows[-2][1], 0, 0), (104, "犬", 1, 1)}
+
+
+def test_multikey_quicksort(monkeypatch):
+    rng = np.random.default_rng(1)
+    for small in (1, 50, 10_000):
+        monkeypatch.setattr(repeats, "SMALL", small)
+        for n, high in ((0, 5), (1, 5), (700, 3), (700, 1 << 60)):
+            words = [rng.integers(0, high, n).astype(np.uint64) for _ in range(3)]
+            order = repeats.multikey_order(words)
+            assert sorted(order.tolist()) == list(range(n))
+            rows = [tuple(w[k] for w in words) for k in order]
+            assert rows == sorted(rows)
+
+
+def test_ranges_cut_by_hash(spark, documents, monkeypatch):
+    """Few ranges and many buckets, or one range of all: the result stays."""
+    rng = random.Random(11)
+    shared = ["".join(rng.choices("abcdefghij ", k=rng.randrange(50, 300))) for _ in range(6)]
+    rows = [(i, "".join(rng.choices("klmnopqrst ", k=80)) + rng.choice(shared) + "".join(rng.choices("uvwxyz ", k=40))) for i in range(60)]
+    seen = []
+    for ranges in (repeats.RANGES, 3, 1):
+        monkeypatch.setattr(repeats, "RANGES", ranges)
+        seen.append(sorted((r.doc_id, r.n_removed, r.begins) for r in substring_dedup.remove_repeated(documents(rows)).collect()))
+    assert seen[0] == seen[1] == seen[2] and sum(n for _, n, _ in seen[0]) > 1000
+
+
+def test_very_long_texts_and_shared_ids(spark, documents):
+    """Texts of megabytes; two texts under one id are told apart."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghijklm", k=rng.randrange(3, 9))) for _ in range(5000)]
+    long = " ".join(rng.choices(words, k=300_000))
+    passage = " ".join(rng.choices(words, k=60))
+    rows = [(1, long), (2, passage), (3, long[1_000_000:1_200_000] + passage), (3, "other words " + passage), (4, long[:500_000] + "\n" + passage)]
+    got = sorted((r.doc_id, r.n_bytes, r.begins, r.ends) for r in substring_dedup.remove_repeated(documents(rows)).collect())
+    assert [(d, n, b[0], e[-1]) for d, n, b, e in got if b] == [(3, len(rows[3][1]), 12, len(rows[3][1])), (3, len(rows[2][1]), 0, len(rows[2][1])), (4, len(rows[4][1]), 0, len(rows[4][1]))]
+    lines = "\n".join(" ".join(rng.choices(words, k=12)) for _ in range(40_000))
+    tail = "\n".join(lines.split("\n")[20_000:30_000])
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(documents([(1, lines), (2, "own words\n" + tail + "\nlast words")])).collect()}
+    assert out[1].n_removed == 0 and out[2].n_removed == 10_000 and out[2].text == "own words\nlast words"

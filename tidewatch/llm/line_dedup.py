@@ -2,13 +2,14 @@
 
 A run is at least ``RUN`` consecutive lines with words, or fewer lines that have ``WORDS`` words together (lines are often paragraphs);
 equality is that of a 64-bit hash of the line without outer white space. Lines are winnowed: each window of RUN lines selects its least
-hashed pair of lines as fingerprint, so that every run of RUN equal lines shares one; positions with one fingerprint meet, matches are
-extended to both sides, and every line covered by a later occurrence goes. Each window of fewer lines with WORDS words is a fingerprint
+hashed pair of lines as fingerprint, so that every run of RUN equal lines shares one. Positions with one fingerprint meet; every window around
+it that occurred before is a match, and matches that overlap or touch are joined, so that a match extends both ways as far as it
+goes. Every line covered by a later occurrence goes. Each window of fewer lines with WORDS words is a fingerprint
 of its own. Order is that of (doc_id, line). Lines without words are no part of a run; they go where the line before them went. A word
 is a run of other characters than white space; in scripts without spaces between words, each character counts as one.
 
 Defined cases: null text stays null; texts under RUN lines and under WORDS words lose nothing; a null doc_id is the smallest; rows that share an
-id are ordered by the line alone, so equal rows keep their lines; an empty table gives no rows.
+id are ordered by the line alone, so equal rows keep their lines; very long texts are cut whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ item of state. Its result says, for each length, which rank goes to which sequen
 their exact rank within their length.
 
 Defined cases: null text counts as empty (its only id is the end id); an empty table gives no rows; equal rows each take a
-place; a null doc_id is kept as an id of its own; columns other than the id and the text are ignored.
+place; very long texts are encoded whole and cut into pieces; a null doc_id is kept as an id of its own; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations

@@ -5,11 +5,13 @@ are taken at anchors only: the least hashed ``gram`` symbols of a window, leftmo
 at equal places, so every pair of equal windows meets among the suffixes that start with that gram, with the symbols before and
 after it. All windows with one anchor travel as one unit (the anchor, up to ``span - gram`` symbols on either side).
 
-* Splitters sampled from anchors cut the range of leading symbols into buckets; a gram lies in one bucket, so none straddles a
-  boundary. Each map flush sends a unit of equal symbols once, for its least document; the others are settled where they are. So a
+* Splitters sampled from anchors cut the range of leading symbols into at most ``RANGES`` ranges, and a hash of the gram cuts ranges into
+  buckets where there is more data. A gram lies in one bucket, so no group straddles a boundary and buckets need no comparison
+  with their neighbours. Each map flush sends a unit of equal symbols once, for its least document; the others are settled where they are. So a
   passage shared by any number of documents sends one unit a flush.
-* A bucket sorts its units by their leading symbols, eight bytes at a time, settles units of equal symbols, and compares the rest
-  window by window within their gram: a window is a repeat if the least document that has it is smaller.
+* A bucket settles units of equal symbols, sorts the rest by multikey quicksort over their leading symbols, eight bytes being one
+  character, and compares them window by window within their gram: a window is a repeat if the least document that has it is smaller.
+  All units of one gram are one group of one task: copies are settled before, but a gram with very many different contexts is not split.
 * Spans return to their document by a hash bucket of its id and are merged there.
 
 Equality within a gram rests on the gram's own bytes and on a 64-bit hash of the window or unit and its place.
@@ -30,6 +32,8 @@ U = np.uint64
 ODD = 0xD1342543DE82EF95
 MASK = (1 << 64) - 1
 LEAST = -(1 << 63)
+#: Most ranges between splitters: what the driver holds of them does not grow with the data.
+RANGES = 4096
 
 
 @dataclass(frozen=True)
@@ -163,12 +167,34 @@ def gram_words(ctx: np.ndarray, shape: Shape) -> list[np.ndarray]:
     return [words[:, k] for k in range(words.shape[1])]
 
 
+SMALL = 4096
+
+
+def multikey_order(words: list[np.ndarray]) -> np.ndarray:
+    """Rows in the order of their characters words[0], words[1], ... by multikey quicksort: rows are parted into those less than, equal to and
+    greater than a pivot, and the equal ones go on with the next character. Parts of at most SMALL rows are finished by a library sort."""
+    out: list[np.ndarray] = []
+    parts = [(np.arange(len(words[0])), 0)]
+    while parts:
+        rows, depth = parts.pop()
+        if depth == len(words):
+            out.append(rows)
+        elif len(rows) <= SMALL:
+            out.append(rows[np.lexsort([w[rows] for w in reversed(words[depth:])])])
+        else:
+            c = words[depth][rows]
+            pivot = np.sort(c[[0, len(c) // 2, -1]])[1]
+            less, more = c < pivot, c > pivot
+            parts += [(rows[more], depth), (rows[~less & ~more], depth + 1), (rows[less], depth)]
+    return np.concatenate(out)
+
+
 def compare(units: Units, least: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """Per unit the least and the greatest number of symbols before the anchor of a window that occurs earlier (greatest -1: none)."""
     m = len(units.left)
     low, high = np.full(m, 1 << 30), np.full(m, -1)
     words = gram_words(units.ctx, shape)
-    order = np.lexsort(words[::-1])
+    order = multikey_order(words)
     new = np.zeros(m, bool)
     for w in words:
         new[1:] |= w[order][1:] != w[order][:-1]
@@ -316,7 +342,7 @@ def _kinds() -> dict:
     return {"bucket": pa.int32(), "spans": pa.bool_(), "payload": pa.binary()}
 
 
-def send(shape: Shape, read: Callable, splitters: np.ndarray, homes: int, flush_at: int) -> Callable:
+def send(shape: Shape, read: Callable, splitters: np.ndarray, each: int, homes: int, flush_at: int) -> Callable:
     """Map side: units by bucket and the spans settled on the way. Columns: id, text hash, text."""
 
     def run(batches: Iterator) -> Iterator:
@@ -337,8 +363,14 @@ def send(shape: Shape, read: Callable, splitters: np.ndarray, homes: int, flush_
             u = units.unit[later]
             spans.add(known, units.doc[later], units.at[later] - units.left[u], units.at[later] + shape.gram + units.right[u])
             del units
-            lead = gram_words(kept.ctx, shape)[0]
+            words = gram_words(kept.ctx, shape)
+            lead = words[0]
             bucket = np.searchsorted(splitters, lead, "right")
+            if each > 1:
+                spread = np.zeros(len(lead), np.uint64)
+                for w in words:
+                    spread = mix((spread ^ w) * U(ODD))
+                bucket = bucket * each + ((spread >> U(8)) % U(each)).astype(np.int64)
             order = np.lexsort((lead, bucket))
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
@@ -455,6 +487,7 @@ def find(docs: DataFrame, shape: Shape, read: Callable, finish: Callable, schema
     spark = docs.sparkSession
     parts = max(shuffle_width(spark), size // 32_000_000)
     homes, buckets = 8 * parts, 8 * parts
+    ranges = max(2, min(buckets, RANGES))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("id"), F.coalesce(text, F.lit("")).alias("text"), *extra)
     # rows that share an id but not the text are told apart by a hash of the text
     twice = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
@@ -474,10 +507,11 @@ def find(docs: DataFrame, shape: Shape, read: Callable, finish: Callable, schema
 
         picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, size // (3000 * sample)))) == 0).select("text")
         leads = picked.mapInArrow(lead, "lead long").where(F.pmod(F.xxhash64("lead"), F.lit(max(1, sample // 250))) == 0)
-        cuts = leads.agg(F.percentile_approx("lead", F.array(*(F.lit(k / buckets) for k in range(1, buckets))), F.lit(20_000)) if buckets > 1 else F.array()).first()[0] or []
+        at = F.lit([k / ranges for k in range(1, ranges)])
+        cuts = leads.agg(F.percentile_approx("lead", at, F.lit(20_000))).first()[0] or []
         splitters = np.unique(np.array(cuts, np.int64)).astype(np.uint64) << U(1)
 
-        sent = rows.select("id", "hash", "text").mapInArrow(send(shape, read, splitters, homes, 300_000), PACKED)
+        sent = rows.select("id", "hash", "text").mapInArrow(send(shape, read, splitters, -(-buckets // ranges), homes, 300_000), PACKED)
         return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet(shape, homes), PACKED)
 
     met = found_by(shape, read)

@@ -6,7 +6,7 @@ descends region, rack, shard by the least draw. A subtree's draw changes only if
 attracts documents into that shard, a shrunk one only releases its own.
 
 Defined cases: null text has size 8 and the crc32 of no bytes; a null doc_id is hashed as a value of its own; equal rows share a
-shard and take adjacent slots; columns other than the id and the text are ignored.
+shard and take adjacent slots; very long texts are only measured; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations

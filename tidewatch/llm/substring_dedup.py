@@ -1,7 +1,7 @@
 """Removal of every byte covered by a 50-byte string that also starts in a document with a smaller id.
 
 Defined cases: null text is empty; texts under 50 bytes lose nothing; rows with equal ids do not count as smaller than each other;
-a null doc_id counts as the smallest of all and comes back null; other columns are ignored; an empty table gives no rows.
+a null doc_id counts as the smallest of all and comes back null; very long texts are searched whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
