@@ -114,3 +114,48 @@ def test_rules(spark, documents):
     assert got[200].host_rejected and not got[200].base_failed and got[300].kept
     assert (got[202].n_words, got[202].word_chars, got[202].n_symbols, got[202].n_dup_lines) == (3, 6, 4, 1)
     assert quality_rules.judge(documents([])).count() == 0
+
+
+def test_places_against_plain_python(spark, documents):
+    """Every draw again, one hash at a time; levels descended one by one on a tree of uneven weights and an emptied rack."""
+    import math
+
+    import xxhash
+
+    tree = {"a": {"r1": {0: 1.0, 1: 2.5}, "r2": {2: 0.5}}, "b": {"r3": {3: 4.0, 4: 0.0}, "r4": {5: 0.0}}, "c": {"r5": {6: 1.0, 7: 1.0, 8: 1.0}}}
+    rows = [(i * 7919 - 3000, "x" * (i % 50) + "ж" * (i % 3)) for i in range(1500)] + [(1, None), (1, "other"), (None, "y" * 300_000), (1, None)]
+
+    def draw(doc, shard):
+        seed = 42 if doc is None else xxhash.xxh64_intdigest(doc.to_bytes(8, "little", signed=True), 42)
+        h = xxhash.xxh64_intdigest(b"draw", xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), seed))
+        return -math.log((h % (1 << 52) + 0.5) / (1 << 52))
+
+    def descend(doc):
+        at = lambda rack: min((draw(doc, s) / w, s) for s, w in rack.items() if w > 0)
+        live = {g: {r: x for r, x in racks.items() if any(x.values())} for g, racks in tree.items()}
+        region = min((min(at(x) for x in racks.values())[0], g) for g, racks in live.items() if racks)[1]
+        rack = min((at(x)[0], r) for r, x in live[region].items())[1]
+        return region, rack, at(live[region][rack])[1]
+
+    out = sharding.place(documents(rows), tree).collect()
+    assert len(out) == len(rows)
+    want = sorted(((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), *descend(d)) for d, t in rows), key=str)
+    assert sorted(((r.doc_id, r.size, r.text_crc32, r.region, r.rack, r.shard) for r in out), key=str) == want
+    for s in {r.shard for r in out}:
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    assert {r.shard for r in out} == {0, 1, 2, 3, 6, 7, 8}
+
+
+@pytest.mark.parametrize("name", ["node", "row", "found", "new", "bucket", "own", "mark", "carry0", "host", "digest"])
+def test_clashing_names(spark, documents, name):
+    """A column of documents that is called like one of an operator's own."""
+    from tidewatch.llm import decontamination, licenses, line_dedup, minhash, pii, quality_classifier, substring_dedup
+
+    docs = documents([(1, "the same words as in the other text here"), (2, "the same words as in the other text here"), (3, None)]).withColumnRenamed("length", name)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(9, "the same words as in the other text")], "item_id long, text string")
+    assert {r.class_id for r in minhash.near_duplicates(docs).collect()} == {1, 3}
+    assert quality_rules.keep(docs).columns == docs.columns
+    for out in (packing.pack(docs), sharding.place(docs, sharding.even_tree(4)), quality_rules.judge(docs), quality_classifier.score(docs, labels), substring_dedup.remove_repeated(docs), line_dedup.dedup_lines(docs, carry=[name]), pii.pseudonymise(docs, "key", [name])):
+        assert out.count() == 3
+    assert licenses.scan(docs).count() == 0 and decontamination.leaks(docs, bench).count() == 2
