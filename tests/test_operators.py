@@ -153,11 +153,12 @@ def test_whole_rounds_and_no_bots(spark, tmp_path):
     from tidewatch.plans import registry
 
     n = 30
-    at = datetime.datetime(2020, 1, 1)
-    chain = [(k, at + datetime.timedelta(minutes=k), k, "view" if k % 2 else "click", float(k)) for k in range(n)]
-    rows = [(i, t, u, "error", v) for i, t, u, _, v in chain] + [(1000 + i, t, 99, "click", 1.0) for i, t in ((k, at + datetime.timedelta(hours=2, seconds=k)) for k in range(1001))]
-    rows += [(900, at - datetime.timedelta(minutes=1), 99, "error", 0.0), (901, at + datetime.timedelta(minutes=n), 99, "error", 0.0)]
-    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    at = datetime.datetime(2020, 1, 1, 12)
+    # one thread, in which each answers the one before; author 99 opens and closes it, and fills another one alone
+    chain = [(5 * k + 1, at + datetime.timedelta(minutes=k), k, "view" if k % 2 else "click", float(k), "a") for k in range(n)]
+    rows = [(i, t, u, "error", v, p) for i, t, u, _, v, p in chain] + [(5000 + i, at + datetime.timedelta(hours=2, seconds=i), 99, "click", 1.0, "b") for i in range(1001)]
+    rows += [(4001, at - datetime.timedelta(minutes=1), 99, "error", 0.0, "a"), (4006, at + datetime.timedelta(minutes=n), 99, "error", 0.0, "a")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     link = np.zeros((n, n))
     for k in range(n - 1):
         link[k, k + 1] = link[k + 1, k] = 1
@@ -166,7 +167,7 @@ def test_whole_rounds_and_no_bots(spark, tmp_path):
         rank = 0.15 / n + 0.85 * (rank / link.sum(1)) @ link
     got = {r.author: r.rank for r in registry.QUERIES["pagerank_50"](spark, str(tmp_path)).collect()}
     assert set(got) == set(range(n)) and all(abs(got[k] - rank[k]) < 1e-6 for k in range(n))
-    loud = {r.author for r in registry.QUERIES["loud_but_wrong_50"](spark, str(tmp_path)).collect()}
+    loud = {r.author for r in registry.QUERIES["loud_but_wrong"](spark, str(tmp_path)).collect()}
     assert loud == set(range(n))
     whole = np.zeros((n + 1, n + 1))
     whole[:n, :n] = link
@@ -202,8 +203,33 @@ def test_every_signal_is_judged(spark):
         if round(r.bp7, 6) and (side not in last or (r.day - last[side]).days >= 21):
             last[side] = r.day
             want.add((r.entity, r.day, r.bp7 > 0))
-    assert want and {(r.entity, r.day, r.buy) for r in detect.every_signal(spark, small).collect()} == want
-    for name in ("asof_returns_all", "onset_judge_all"):
+    assert want and {(r.entity, r.day, r.buy) for r in detect.signals(spark, small).collect()} == want
+    for name in ("asof_returns", "onset_judge"):
         rows = {(r.entity, r.day) for r in registry.QUERIES[name](spark, small).collect()}
         assert rows == {w[:2] for w in want}
-    assert len({r.day.toordinal() % 17 for r in registry.QUERIES["top_judge_all"](spark, small).collect()}) > 1
+    assert len({r.day.toordinal() % 17 for r in registry.QUERIES["top_judge"](spark, small).collect()}) > 1
+
+
+def test_replies_resolve_by_precedence(spark):
+    from tidewatch.operators.graph import resolve_replies
+
+    posts = spark.createDataFrame([("t3_p", "pia"), ("t3_q", "quinn"), ("t1_x", "wrong")], "id string, author string")
+    rows = [("t1_x", "xeno", "t3_p", "t3_p"), ("t1_y", "yuri", "t1_x", "t3_p"), ("t1_z", "pia", "t1_gone", "t3_p"), ("t1_w", "wim", "t1_gone", "t3_q"), ("t1_v", "vera", "gone", "gone"), ("t1_u", "ulf", None, "t3_q"), ("t1_t", "xeno", "t1_x", "t3_p")]
+    got = {(r.id, r.replier, r.author) for r in resolve_replies(spark.createDataFrame(rows, "id string, author string, parent_id string, link_id string"), posts).collect()}
+    assert got == {("t1_x", "xeno", "pia"), ("t1_y", "yuri", "xeno"), ("t1_w", "wim", "quinn"), ("t1_u", "ulf", "quinn")}
+
+
+def test_running_sums(spark):
+    import random
+
+    from tidewatch.operators.windows import running_sums
+
+    rng = random.Random(4)
+    values = rng.sample(range(10_000), 700)
+    rows = [(float(v), rng.randrange(5)) for v in values]
+    got = {r.x: r.run_n for r in running_sums(spark.createDataFrame(rows, "x double, n long"), "x", ["n"], 16).collect()}
+    total = 0
+    for x, n in sorted(rows):
+        total += n
+        assert got[x] == total
+    assert running_sums(spark.createDataFrame([], "x double, n long"), "x", ["n"]).count() == 0

@@ -31,9 +31,10 @@ def test_z_warms_up_and_does_not_look_ahead(spark):
     from tidewatch.operators import windows as W
 
     z = lambda v: [r.z for r in series(spark, v).withColumn("z", W.trailing_z(F.col("x"))).orderBy("day").collect()]
-    assert z([10] * 60) == [None] * 60
-    base = [10 + k % 3 for k in range(100)]
-    assert z(base + [100] * 7)[:100] == z(base) and z(base)[:27] == [None] * 27 and z(base + [100])[-1] > 2.5
+    assert z([3] * 45) == [None] * 45
+    rising = [2 * k + (k * k) % 5 for k in range(64)]
+    early, late = z(rising), z(rising + [900, 0, 900])
+    assert late[:64] == early and early[:27] == [None] * 27 and late[64] > 3 > abs(early[63])
 
 
 def test_crossings(spark):
@@ -41,9 +42,9 @@ def test_crossings(spark):
 
     from tidewatch.operators import windows as W
 
-    n = lambda v, f: sum(r.c for r in series(spark, v).withColumn("c", f(F.col("x"), 2.5)).collect())
-    assert n([0, 1, 2, 3, 3.5, 3.2, 2, 1, 0, -1], W.crosses_above) == 1
-    assert n([None, None, 3, 3, 3], W.crosses_above) == 0
+    days = lambda v, f, k: [i for i, r in enumerate(series(spark, v).withColumn("c", f(F.col("x"), k)).orderBy("day").collect()) if r.c]
+    assert days([1.5, 4.0, 6.0, 4.5, 0.5, -2.0, 7.0, 7.5], W.crosses_above, 3.0) == [1, 6]
+    assert days([None, 5.0, 5.5, None, 6.0], W.crosses_above, 3.0) == []
 
 
 def test_spacing_is_greedy(spark):
@@ -61,6 +62,26 @@ def test_extraction(spark):
 
     from tidewatch.functions import text as T
 
-    rows = [("bought NVDA calls and $gme",), ("the EDGE of the market",), ("NVDA NVDA r/stocks (r/abc_d) xr/none",)]
-    t = spark.createDataFrame(rows, "t string").select(T.tickers(F.col("t"), ["EDGE"]).alias("k"), T.referrals(F.col("t")).alias("r")).collect()
-    assert [x.k for x in t] == [["GME", "NVDA"], [], ["NVDA", "NVDA"]] and t[2].r == ["stocks", "abc_d"]
+    rows = [("1", "Sold QRST, kept $wxy", "then $QRST again"), ("2", "a CUTE idea, NOTE it", "$cute $note"), ("3", "PLAN PLAN", None), ("4", "no caps here", "ABCDEF ABC")]
+    posts = spark.createDataFrame(rows, "id string, title string, body string")
+    universe = spark.createDataFrame([(s,) for s in ("QRST", "WXY", "CUTE", "NOTE", "PLAN")], "symbol string")
+    got = {tuple(r) for r in T.mentions(posts, universe, ["NOTE"], ["CUTE"]).select("id", "place", "ticker", "n").collect()}
+    assert got == {("1", "title", "QRST", 1), ("1", "title", "WXY", 1), ("1", "body", "QRST", 1), ("2", "body", "CUTE", 1), ("3", "title", "PLAN", 2)}
+    t = spark.createDataFrame([("see /r/first_one, (r/second) but nor/third or r/ab",)], "t string").select(T.referrals(F.col("t")).alias("r")).first()
+    assert t.r == ["first_one", "second"]
+
+
+def test_themes(spark):
+    from tidewatch.functions import text as T
+
+    posts = spark.createDataFrame([("1", "Smart-phone prices"), ("2", "the art phone"), ("3", "phones"), ("4", None)], "id string, t string")
+    keys = spark.createDataFrame([("exact", "phone"), ("part", "art-phone"), ("part", "art phone"), ("none", "price")], "theme string, keyword string")
+    assert {tuple(r) for r in T.themes(posts, keys).collect()} == {("1", "exact"), ("1", "part"), ("2", "exact"), ("2", "part")}
+
+
+def test_scorer():
+    from tidewatch.functions.scoring import score_text
+
+    assert score_text(None) == score_text(" ") == score_text("the table") == 0
+    assert score_text("good") == -score_text("good") * -1 > 0 > score_text("not good") and score_text("great!!") > score_text("great!") > score_text("great")
+    assert score_text("x" * 300 + " great") == 0 and -1 < score_text("terrible " * 30) < -0.9

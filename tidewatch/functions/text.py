@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Common words that are no terms.
@@ -19,32 +21,77 @@ def caps_tokens(text: Column) -> Column:
     return runs(text, "[A-Z]{4,5}")
 
 
+# Fixed patterns: a cashtag, and a bare symbol.
+CASHTAG, BARE = r"\$([A-Z]{1,5})\b", "[A-Z]{4,5}"
+
+
 def cashtags(text: Column) -> Column:
-    return F.regexp_extract_all(F.upper(text), F.lit(r"\$([A-Z]{1,5})\b"), F.lit(1))
+    return F.regexp_extract_all(F.upper(text), F.lit(CASHTAG), F.lit(1))
+
+
+def _without(words: Column, blocked: list[str]) -> Column:
+    return F.filter(words, lambda t: ~t.isin(*blocked)) if blocked else words
 
 
-def tickers(text: Column, stop: list[str]) -> Column:
-    """Cashtags of the upper-cased text, then bare words of the text without them; duplicates stay, stop words go."""
+def tickers(text: Column, stop: list[str], prose: list[str] | None = None) -> Column:
+    """Cashtags of the upper-cased text, then bare words of the text without them; duplicates stay. Stop words go everywhere, words that are
+    symbols as well as prose count as cashtags only."""
     bare = caps_tokens(F.regexp_replace(text, r"\$[A-Z]{1,5}\b", " "))
-    blocked = F.array(*map(F.lit, stop)) if stop else F.array().cast("array<string>")
-    return F.filter(F.concat(cashtags(text), bare), lambda t: ~F.array_contains(blocked, t))
+    return F.concat(_without(cashtags(text), stop), _without(bare, [*stop, *(prose or [])]))
 
 
-def words(text: Column) -> Column:
-    return runs(F.lower(text), "[a-z][a-z0-9]{2,}")
+def mentions(posts: DataFrame, universe: DataFrame, stop: list[str], prose: list[str] | None = None) -> DataFrame:
+    """posts (id, title, body, ...) -> (id, ticker, place: title or body, n), of symbols in the universe (symbol)."""
+    at = [F.struct(F.lit(p).alias("place"), tickers(F.coalesce(p, F.lit("")), stop, prose).alias("found")) for p in ("title", "body")]
+    rows = posts.select("id", F.explode(F.array(*at)).alias("p")).select("id", "p.place", F.explode("p.found").alias("ticker"))
+    rows = rows.groupBy("id", "place", "ticker").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(universe.select(F.col("symbol").alias("ticker")), "ticker", "left_semi")
 
 
-def terms(text: Column) -> Column:
-    """Distinct words and adjacent pairs; a pair needs both its words to be terms."""
-    stop = F.array(*map(F.lit, STOP))
+def themes(posts: DataFrame, keywords: DataFrame, text: str = "t") -> DataFrame:
+    """posts (id, text) -> distinct (id, theme). keywords (theme, keyword): a keyword with blank, hyphen or dot is a phrase and matches anywhere in
+    the lower-cased text, others match whole words. Phrases are looked up by their first word, so neither kind is compared with every text."""
+    first = F.regexp_extract("keyword", "^[a-z0-9]+", 0)
+    k = keywords.select("theme", "keyword", first.alias("w"), F.col("keyword").rlike(r"[ .\-]").alias("phrase"))
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
+    plain = posts.select("id", F.explode(tokens).alias("keyword")).join(k.where("NOT phrase"), "keyword").select("id", "theme")
+    # a phrase may begin inside a word: it is looked up by every ending of a word
+    endings = F.array_distinct(F.flatten(F.transform(tokens, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substr(w, i)))))
+    some = posts.select("id", F.lower(text).alias("_t"), F.explode(endings).alias("w"))
+    inside = some.join(k.where("phrase"), "w").where(F.contains("_t", "keyword")).select("id", "theme")
+    return plain.unionByName(inside).distinct()
+
 
-    def of(w: Column) -> Column:
-        marked = F.transform(w, lambda x: F.when(~F.array_contains(stop, x), x))
-        pairs = F.zip_with(F.slice(marked, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(marked, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
-        return F.array_distinct(F.array_compact(F.concat(marked, pairs)))
+_RUNS = re.compile("[A-Za-z0-9_]+").findall
+_TERM = re.compile("[a-z][a-z0-9]{2,}").fullmatch
 
-    # bound to a variable, so that the words are split once
-    return F.element_at(F.transform(F.array(words(text)), of), 1)
+
+def terms_in_text(text: str, stop: frozenset[str] = frozenset(STOP)) -> set[str]:
+    """Distinct words and adjacent pairs; a pair needs both its words to be terms."""
+    w = [x if x not in stop else "" for x in _RUNS(text.lower()) if _TERM(x)]
+    return {x for x in w if x} | {f"{a} {b}" for a, b in zip(w, w[1:], strict=False) if a and b}
+
+
+def term_counts(texts: DataFrame, by: list[str]) -> DataFrame:
+    """texts (by..., text) -> (by..., term, n texts). One Arrow pass splits each text once and adds up within a batch, so that only one row a
+    term, key and batch is shuffled."""
+    import pyarrow as pa
+
+    kinds = [texts.schema[c].dataType.simpleString() for c in by]
+
+    def run(batches):
+        for batch in batches:
+            counts: dict = {}
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(by))), strict=True)) if by else [()] * batch.num_rows
+            for key, text in zip(keys, batch.column(len(by)), strict=True):
+                for term in terms_in_text(text.as_py() or ""):
+                    counts[key, term] = counts.get((key, term), 0) + 1
+            columns = [[k[c] for k, _ in counts] for c in range(len(by))]
+            arrays = [pa.array(c, batch.schema.field(k).type) for k, c in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([t for _, t in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=[*by, "term", "n"])
+
+    schema = "".join(f"`{c}` {k}, " for c, k in zip(by, kinds, strict=True)) + "term string, n long"
+    return texts.select(*by, "text").mapInArrow(run, schema).groupBy(*by, "term").agg(F.sum("n").alias("n"))
 
 
 def referrals(text: Column) -> Column:

@@ -7,10 +7,24 @@ from pyspark.sql import functions as F
 
 
 def _dir(spark) -> None:
+    """Checkpoints go to the session's shared folder; a single machine without one gets a temporary folder, a cluster an error."""
     import tempfile
 
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
+    sc = spark.sparkContext
+    if not (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
+
+
+def resolve_replies(comments: DataFrame, posts: DataFrame) -> DataFrame:
+    """comments (id, author, parent_id, link_id), posts (id, author) -> (id, replier, author): whom a comment answers. The parent comment's
+    author counts before the parent post's, and that before the linked post's; a reply to oneself or to nobody known is none."""
+    known = lambda rows, key, name: rows.select(F.col("id").alias(key), F.col("author").alias(name))
+    r = comments.select("id", F.col("author").alias("replier"), "parent_id", "link_id")
+    r = r.join(known(comments, "parent_id", "a"), "parent_id", "left").join(known(posts, "parent_id", "b"), "parent_id", "left")
+    r = r.join(known(posts, "link_id", "c"), "link_id", "left")
+    return r.select("id", "replier", F.coalesce("a", "b", "c").alias("author")).where("author != replier")
 
 
 def pagerank(edges: DataFrame, steps: int = 50, damping: float = 0.85, every: int = 5) -> DataFrame:

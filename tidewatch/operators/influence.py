@@ -60,10 +60,17 @@ def board(judged: DataFrame, high: float = 0.66) -> DataFrame:
 
 def split(rows: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
     """train, val or test (60/20/20) within each label, in the order of a seeded hash."""
-    w = Window.partitionBy(label)
-    k = F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed))), key))
-    at = (k - 1) / F.count(F.lit(1)).over(w)
-    return rows.withColumn("part", F.when(at < 0.6, "train").when(at < 0.8, "val").otherwise("test"))
+    # ranked by buckets of the hash's leading digits: no task holds a label whole
+    rows = rows.withColumn("_h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed)))).withColumn("_b", F.substring("_h", 1, 3))
+    sizes = rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(label)  # over at most 4096 rows a label
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col(label).alias("_label"), F.col("_b").alias("_c"), before.alias("_start"), F.sum("_n").over(w).alias("_all"))
+    k = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key))
+    at = (F.col("_start") + F.col("_k") - 1) / F.col("_all")
+    ranked = rows.withColumn("_k", k).join(starts, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_b") == F.col("_c")))
+    part = F.when(at < 0.6, "train").when(at < 0.8, "val").otherwise("test")
+    return ranked.withColumn("part", part).drop("_h", "_b", "_k", "_label", "_c", "_start", "_all")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

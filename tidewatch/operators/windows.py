@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -19,6 +19,20 @@ def trailing(n: int, *keys: str) -> WindowSpec:
     return by_entity(*keys).rowsBetween(-(n - 1), 0)
 
 
+def running_sums(rows: DataFrame, order: str, columns: list[str], ranges: int = 256) -> DataFrame:
+    """rows with run_<column>, the sum up to and with each row in a global order of distinct numbers. Quantiles cut the order into ranges, each
+    range is summed by itself and starts where the ones before it end, so no task has all rows."""
+    cuts = rows.agg(F.percentile_approx(order, F.lit([k / ranges for k in range(1, ranges)]), F.lit(100 * ranges))).first()[0] or []
+    cut = F.lit(sorted(set(cuts))) if cuts else F.array().cast("array<double>")
+    dealt = rows.withColumn("_range", F.size(F.filter(cut, lambda x: x < F.col(order))))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    starts = dealt.groupBy("_range").agg(*(F.sum(c).alias(f"_s{k}") for k, c in enumerate(columns)))
+    starts = starts.select("_range", *(F.coalesce(F.sum(f"_s{k}").over(before), F.lit(0)).alias(f"_b{k}") for k in range(len(columns))))
+    within = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = dealt.select("*", *(F.sum(c).over(within).alias(f"_r{k}") for k, c in enumerate(columns))).join(F.broadcast(starts), "_range")
+    return joined.select(*rows.columns, *((F.col(f"_b{k}") + F.col(f"_r{k}")).alias(f"run_{c}") for k, c in enumerate(columns)))
+
+
 def at_least(value: Column, column: Column, w: WindowSpec, n: int) -> Column:
     """null where fewer than n values are there."""
     return F.when(F.count(column).over(w) >= n, value)

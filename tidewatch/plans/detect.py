@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -62,53 +60,52 @@ def boom_state(spark, d):
     return filled_prices(spark, d).select("day", "entity", F.coalesce(F.col("px") / low - 1 >= 0.25, F.lit(False)).alias("boom"))
 
 
-SIG = "sig AS (SELECT entity, day, s FROM (SELECT entity, day, sum(n) OVER (PARTITION BY entity ORDER BY day ROWS 6 PRECEDING) AS s, n FROM swide) WHERE s >= 8 AND day % 17 = 3)".replace("day % 17 = 3", "(day - DATE '1970-01-01') % 17 = 3")
-ENTRY = "SELECT entity, day, day + 1 AS entry, least(day + 21, (SELECT max(day) FROM px)) AS out FROM sig"
+SIG = (
+    f"{daily.PRESS}, sg AS (SELECT entity, day, bp7 > 0 AS buy, row_number() OVER (PARTITION BY entity, bp7 > 0 ORDER BY day) AS k FROM pr WHERE n7 >= 8 AND round(bp7, 6) != 0),"
+    " sgw AS (SELECT entity, buy, day, k, day AS kept FROM sg WHERE k = 1 UNION ALL"
+    " SELECT n.entity, n.buy, n.day, n.k, CASE WHEN n.day - w.kept >= 21 THEN n.day ELSE w.kept END FROM sgw w JOIN sg n ON n.entity = w.entity AND n.buy = w.buy AND n.k = w.k + 1),"
+    " sig AS (SELECT DISTINCT entity, kept AS day, buy FROM sgw)"
+)
 
 
 def signals(spark, d):
-    s = swide(spark, d).withColumn("s", F.sum("n").over(W.trailing(7)))
-    return s.where((F.col("s") >= 8) & (F.pmod(F.unix_date("day"), F.lit(17)) == 3)).select("entity", "day", (F.unix_date("day") % 2 == 0).alias("buy"))
-
-
-def every_signal(spark, d):
     """All days of which the seven-day count is high, spaced by 21 days within name and side. The side is that of the seven days'
     pressure; days on which it is zero have none and give no signal."""
     p = daily.pressure(spark, d).where((F.col("n7") >= 8) & (F.round("bp7", 6) != 0)).select("entity", "day", (F.col("bp7") > 0).alias("buy"))
     return spaced(p, ["entity", "buy"], 21)
 
 
-def returns(spark, d, chosen=signals):
+def returns(spark, d):
     """Entry the day after the signal, exit 20 days on; as of the last price where the calendar ends (prices are filled, so an equi-join)."""
     px = filled_prices(spark, d).select("entity", "day", "px")
     last = px.groupBy("entity").agg(F.max("day").alias("last"))
-    s = chosen(spark, d).join(last, "entity")
+    s = signals(spark, d).join(last, "entity")
     s = s.withColumns({"entry": F.least(F.date_add("day", 1), "last"), "out": F.least(F.date_add("day", 21), "last")})
     s = s.join(px.select("entity", F.col("day").alias("entry"), F.col("px").alias("p0")), ["entity", "entry"], "left").join(px.select("entity", F.col("day").alias("out"), F.col("px").alias("p1")), ["entity", "out"], "left")
     move = 100 * (F.col("p1") / F.col("p0") - 1)
     return s.select("entity", "day", F.when(F.col("buy"), "BUY").otherwise("SELL").alias("action"), "out", F.when(F.col("buy"), move).otherwise(-move).alias("pnl"))
 
 
-RET = f"{SIG}, lastd AS (SELECT max(day) AS last FROM px), pos AS (SELECT entity, day, CASE WHEN (day - DATE '1970-01-01') % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS action, day + 1 AS e, day + 21 AS x FROM sig), ret AS (SELECT p.entity, p.day, p.action, least(p.x, last) AS out, (CASE WHEN action = 'BUY' THEN 1 ELSE -1 END) * 100 * (b.px / a.px - 1) AS pnl FROM pos p CROSS JOIN lastd ASOF LEFT JOIN px a ON a.entity = p.entity AND a.day <= p.e ASOF LEFT JOIN px b ON b.entity = p.entity AND b.day <= p.x)"
+RET = f"{SIG}, lastd AS (SELECT max(day) AS last FROM px), pos AS (SELECT entity, day, CASE WHEN buy THEN 'BUY' ELSE 'SELL' END AS action, day + 1 AS e, day + 21 AS x FROM sig), ret AS (SELECT p.entity, p.day, p.action, least(p.x, last) AS out, (CASE WHEN action = 'BUY' THEN 1 ELSE -1 END) * 100 * (b.px / a.px - 1) AS pnl FROM pos p CROSS JOIN lastd ASOF LEFT JOIN px a ON a.entity = p.entity AND a.day <= p.e ASOF LEFT JOIN px b ON b.entity = p.entity AND b.day <= p.x)"
 
 
 @query(f"{SBASE}, {RET} SELECT entity, day, action, round(pnl, 3) + 0.0 AS pnl FROM ret")
-def asof_returns(spark, d, chosen=signals):
-    return returns(spark, d, chosen).select("entity", "day", "action", r(F.col("pnl"), 3).alias("pnl"))
+def asof_returns(spark, d):
+    return returns(spark, d).select("entity", "day", "action", r(F.col("pnl"), 3).alias("pnl"))
 
 
-@query(f"{SBASE}, {RET} SELECT coalesce(action, 'ALL') AS action, count(pnl) AS n, CASE WHEN count(pnl) > 1 THEN round(avg(pnl), 4) + 0.0 END AS mean, CASE WHEN count(pnl) > 1 THEN round(100.0 * count(*) FILTER (pnl > 0) / count(pnl), 4) END AS hit, CASE WHEN count(pnl) > 1 THEN round(avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(252 / 20.0), 4) + 0.0 END AS sharpe FROM ret GROUP BY GROUPING SETS ((), (action))")
-def signal_scorecard(spark, d, chosen=signals):
+@query(f"{SBASE}, {RET} SELECT coalesce(action, 'ALL') AS action, count(pnl) AS n, CASE WHEN count(pnl) > 1 THEN round(avg(pnl), 4) + 0.0 END AS mean, CASE WHEN count(pnl) > 1 THEN round(sum(pnl), 3) + 0.0 END AS total, CASE WHEN count(pnl) > 1 THEN round(100.0 * count(*) FILTER (pnl > 0) / count(pnl), 4) END AS hit, CASE WHEN count(pnl) > 1 THEN round(avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(252 / 20.0), 4) + 0.0 END AS sharpe FROM ret GROUP BY GROUPING SETS ((), (action))")
+def signal_scorecard(spark, d):
     n = F.count("pnl")
-    measures = (n.alias("n"), F.when(n > 1, r(F.avg("pnl"))).alias("mean"), F.when(n > 1, F.round(100.0 * F.count_if(F.col("pnl") > 0) / n, 4)).alias("hit"), F.when(n > 1, r(F.avg("pnl") / F.nullif(F.stddev_samp("pnl"), F.lit(0.0)) * (252 / 20.0) ** 0.5)).alias("sharpe"))
+    measures = (n.alias("n"), F.when(n > 1, r(F.avg("pnl"))).alias("mean"), F.when(n > 1, r(F.sum("pnl"), 3)).alias("total"), F.when(n > 1, F.round(100.0 * F.count_if(F.col("pnl") > 0) / n, 4)).alias("hit"), F.when(n > 1, r(F.avg("pnl") / F.nullif(F.stddev_samp("pnl"), F.lit(0.0)) * (252 / 20.0) ** 0.5)).alias("sharpe"))
     # the total stands even without any trade, which a rollup of no rows would drop
-    rows = returns(spark, d, chosen)
+    rows = returns(spark, d)
     return rows.groupBy("action").agg(*measures).unionByName(rows.agg(*measures).withColumn("action", F.lit("ALL")))
 
 
 @query(f"{SBASE}, {RET} SELECT entity, day, action, out, out >= last AS open, greatest(0, day + 21 - last)::INT AS days_left, round(pnl, 3) + 0.0 AS pnl FROM ret CROSS JOIN lastd")
-def trade_ledger(spark, d, chosen=signals):
-    t = returns(spark, d, chosen)
+def trade_ledger(spark, d):
+    t = returns(spark, d)
     last = filled_prices(spark, d).agg(F.max("day").alias("last"))
     return t.join(F.broadcast(last)).select("entity", "day", "action", "out", (F.col("out") >= F.col("last")).alias("open"), F.greatest(F.lit(0), F.datediff(F.date_add("day", 21), "last")).cast("int").alias("days_left"), r(F.col("pnl"), 3).alias("pnl"))
 
@@ -181,17 +178,17 @@ AL = f"{EPI}, al AS (SELECT entity, day FROM sig)"
 
 
 @query(f"{SBASE}, {SIG}, {AL}, j AS (SELECT a.entity, a.day, max(CASE WHEN a.day BETWEEN e.trough AND least(e.trough + 45, e.peak) THEN 1 ELSE 0 END) AS hit, max(CASE WHEN a.day > least(e.trough + 45, e.peak) AND a.day <= e.peak THEN 1 ELSE 0 END) AS late FROM al a LEFT JOIN eb e ON e.entity = a.entity AND a.day BETWEEN e.trough AND e.peak GROUP BY ALL) SELECT entity, day, CASE WHEN hit = 1 THEN 'HIT' WHEN late = 1 THEN 'LATE' ELSE 'FA' END AS verdict FROM j")
-def onset_judge(spark, d, chosen=signals):
+def onset_judge(spark, d):
     """Alerts against episodes by entity: few episodes each, so the range is checked within the entity."""
-    a, e = chosen(spark, d).select("entity", "day"), episodes(spark, d).withColumn("hi", F.least(F.date_add("trough", 45), "peak")).withColumnRenamed("entity", "e")
+    a, e = signals(spark, d).select("entity", "day"), episodes(spark, d).withColumn("hi", F.least(F.date_add("trough", 45), "peak")).withColumnRenamed("entity", "e")
     j = a.join(e, (F.col("entity") == F.col("e")) & F.col("day").between(F.col("trough"), F.col("peak")), "left")
     g = j.groupBy("entity", "day").agg(F.bool_or(F.col("day") <= F.col("hi")).alias("hit"), F.count("peak").alias("n"))
     return g.select("entity", "day", F.when(F.col("hit"), "HIT").when(F.col("n") > 0, "LATE").otherwise("FA").alias("verdict"))
 
 
 @query(f"{SBASE}, {SIG}, {AL} SELECT a.entity, a.day, CASE WHEN EXISTS (FROM pk p WHERE p.entity = a.entity AND a.day BETWEEN p.peak - 30 AND p.peak + 1) THEN 'HIT' WHEN NOT EXISTS (FROM pk p WHERE p.entity = a.entity AND p.peak BETWEEN a.day AND a.day + 45) THEN 'FA' ELSE 'NEITHER' END AS verdict FROM al a")
-def top_judge(spark, d, chosen=signals):
-    a, p = chosen(spark, d).select("entity", "day"), peaks(spark, d).select(F.col("entity").alias("e"), "peak")
+def top_judge(spark, d):
+    a, p = signals(spark, d).select("entity", "day"), peaks(spark, d).select(F.col("entity").alias("e"), "peak")
     j = a.join(p, (F.col("entity") == F.col("e")) & F.col("peak").between(F.date_sub("day", 1), F.date_add("day", 45)), "left")
     hit = F.bool_or(F.col("day").between(F.date_sub("peak", 30), F.date_add("peak", 1)))
     near = F.bool_or(F.col("peak") >= F.col("day"))
@@ -200,22 +197,18 @@ def top_judge(spark, d, chosen=signals):
 
 
 @query(f"{SBASE}, {SIG}, {PEAK} SELECT s.entity, s.day FROM sig s WHERE NOT EXISTS (FROM pk p WHERE p.entity = s.entity AND p.peak BETWEEN s.day AND s.day + 45)")
-def false_alarm_anti(spark, d, chosen=signals):
-    a, p = chosen(spark, d).select("entity", "day"), peaks(spark, d).select(F.col("entity").alias("e"), "peak")
+def false_alarm_anti(spark, d):
+    a, p = signals(spark, d).select("entity", "day"), peaks(spark, d).select(F.col("entity").alias("e"), "peak")
     return a.join(p, (F.col("entity") == F.col("e")) & F.col("peak").between(F.col("day"), F.date_add("day", 45)), "left_anti")
 
 
 @query("WITH s AS (SELECT event_id, value AS score, (event_type = 'purchase')::INT AS y FROM events), g AS (SELECT score, sum(y) AS p, count(*) AS n FROM s GROUP BY score), c AS (SELECT score, p, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS k, sum(p) OVER () AS pos, sum(n) OVER () AS tot, sum(n) OVER (ORDER BY score) - (n - 1) / 2.0::DOUBLE AS rank FROM g) SELECT round(sum(p / pos * (tp / k)), 6) AS average_precision, round((sum(p * rank) - any_value(pos) * (any_value(pos) + 1) / 2.0) / (any_value(pos) * (any_value(tot) - any_value(pos))), 6) AS auroc FROM c".replace("sum(p / pos * (tp / k))", "sum(p::DOUBLE / pos * (tp::DOUBLE / k))"))
 def auroc_ap(spark, d):
-    """Counts by score first, so that the running sums go over distinct scores."""
+    """Counts by score first, so that the running sums go over distinct scores, range by range."""
     s = read(spark, d, "events").select(F.col("value").alias("score"), (F.col("event_type") == "purchase").cast("int").alias("y"))
-    g = s.groupBy("score").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
-    down, up, all_ = Window.orderBy(F.desc("score")), Window.orderBy("score"), Window.partitionBy()
-    c = g.select("p", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("k"), F.sum("p").over(all_).alias("pos"), F.sum("n").over(all_).alias("tot"), (F.sum("n").over(up) - (F.col("n") - 1) / 2).alias("rank"))
+    g = W.running_sums(s.groupBy("score").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")), "score", ["p", "n"])
+    c = g.join(F.broadcast(g.agg(F.sum("p").alias("pos"), F.sum("n").alias("tot"))))  # one row of totals
     pos, tot = F.first("pos"), F.first("tot")
-    return c.agg(F.round(F.sum(F.col("p") / F.col("pos") * F.col("tp") / F.col("k")), 6).alias("average_precision"), F.round((F.sum(F.col("p") * F.col("rank")) - pos * (pos + 1) / 2) / (pos * (tot - pos)), 6).alias("auroc"))
-
-
-#: The same on every signal; their SQL knows only the thinned ones, so these have none.
-for _f in (asof_returns, signal_scorecard, trade_ledger, onset_judge, top_judge, false_alarm_anti):
-    QUERIES[f"{_f.__name__}_all"] = partial(_f, chosen=every_signal)
+    tp, k, rank = F.col("pos") - F.col("run_p") + F.col("p"), F.col("tot") - F.col("run_n") + F.col("n"), F.col("run_n") - (F.col("n") - 1) / 2
+    precision = F.sum(F.col("p") / F.col("pos") * tp / k)
+    return c.agg(F.round(precision, 6).alias("average_precision"), F.round((F.sum(F.col("p") * rank) - pos * (pos + 1) / 2) / (pos * (tot - pos)), 6).alias("auroc"))

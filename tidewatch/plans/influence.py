@@ -85,32 +85,22 @@ def neighbour_mean(spark, d):
     return out.select("node", F.round("nb_n", 5).alias("nb_n"), F.round("nb_v", 5).alias("nb_v"))
 
 
-_P = ", ".join(f"b{k} AS MATERIALIZED (SELECT s.node, s.y, coalesce(s.y, 0.85 * coalesce(m, s.b) + 0.15 * s.b) AS b FROM b{k - 1} s LEFT JOIN (SELECT e.u, sum(x.b * e.w) / sum(e.w) AS m FROM both_ e JOIN b{k - 1} x ON x.node = e.v GROUP BY e.u) q ON q.u = s.node)" for k in range(1, 11))
-
-
-@query(f"WITH {N.EDGES}, {NODES}, k0 AS (SELECT node, CASE WHEN part = 'train' THEN y::DOUBLE END AS y FROM sp), b0 AS (SELECT node, y, coalesce(y, (SELECT avg(y) FROM k0)) AS b FROM k0), {_P} SELECT node, round(b, 6) AS belief FROM b10")
-def label_propagation(spark, d):
-    """Ten rounds; the operator's own number is thirty."""
-    return I.propagate(priors(spark, d), N.edges(spark, d), 10).select("node", F.round("belief", 6).alias("belief"))
-
-
 def priors(spark, d):
     return I.split(nodes(spark, d), "node", "y").select("node", F.when(F.col("part") == "train", F.col("y").cast("double")).alias("y"))
 
 
-@query()
+SPREAD = """k0 AS (SELECT node, CASE WHEN part = 'train' THEN y::DOUBLE END AS y FROM sp),
+lp AS (SELECT 0 AS k, node, y, coalesce(y, (SELECT avg(y) FROM k0)) AS b FROM k0 UNION ALL
+SELECT s.k + 1, s.node, s.y, coalesce(s.y, 0.85 * coalesce(m, s.b) + 0.15 * s.b) FROM lp s LEFT JOIN (SELECT e.u, sum(x.b * e.w) / sum(e.w) AS m FROM both_ e JOIN lp x ON x.node = e.v GROUP BY e.u) q ON q.u = s.node WHERE s.k < 30)"""
+
+
+@query(f"WITH RECURSIVE {N.EDGES}, {NODES}, {SPREAD} SELECT node, round(b, 6) AS belief FROM lp WHERE k = 30")
 def label_propagation_30(spark, d):
-    """The operator's own number of rounds. No SQL: thirty rounds do not unroll."""
     return I.propagate(priors(spark, d), N.edges(spark, d)).select("node", F.round("belief", 6).alias("belief"))
 
 
-@query(f"WITH sc AS ({N.ORACLES['author_scores']}), pg AS ({N.ORACLES['pagerank_10']}) SELECT author, rank >= (SELECT quantile_cont(rank, 0.75) FROM pg) AND scaled < (SELECT quantile_cont(scaled, 0.5) FROM sc) AS loud_but_wrong FROM sc JOIN pg USING (author)")
+@query(f"WITH sc AS ({N.ORACLES['author_scores']}), pg AS ({N.ORACLES['pagerank_50']}) SELECT author, rank >= (SELECT quantile_cont(rank, 0.75) FROM pg) AND scaled < (SELECT quantile_cont(scaled, 0.5) FROM sc) AS loud_but_wrong FROM sc JOIN pg USING (author)")
 def loud_but_wrong(spark, d):
-    return loud(N.author_scores(spark, d), N.pagerank_10(spark, d))
-
-
-@query()
-def loud_but_wrong_50(spark, d):
     """By the ranks of pagerank_50; authors the graph filters drop have no rank and no row."""
     return loud(N.author_scores(spark, d), N.pagerank_50(spark, d).checkpoint())
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import crowd, daily, detect, influence, judging, models, people, streams
+from tidewatch.plans import crowd, daily, detect, influence, judging, models, people, streams, texts
 
-MODULES = [daily, detect, crowd, judging, people, influence, streams, models]
+MODULES = [daily, detect, crowd, judging, people, influence, streams, models, texts]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
