@@ -162,7 +162,8 @@ def one_pass_aggregates(spark, d):
     full = S.with_sentiment(posts, "t").join(lists, "id", "left").join(themes, "id", "left").select("day", "source", "tickers", "themes", "sentiment")
     bullish = F.when(F.col("sentiment") > 0.02, F.array("source"))
     keys = (("ticker", F.col("tickers")), ("theme", F.col("themes")), ("source", F.array("source")), ("bullish", bullish))
-    each = F.flatten(F.array(*(F.transform(F.coalesce(v, F.array().cast("array<string>")), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("entity"))) for k, v in keys)))
+    marked = lambda k, v: F.transform(F.coalesce(v, F.array().cast("array<string>")), lambda x: F.struct(F.lit(k).alias("kind"), x.alias("entity")))
+    each = F.flatten(F.array(*(marked(k, v) for k, v in keys)))
     return full.select("day", F.explode(each).alias("e")).groupBy("e.kind", "day", "e.entity").agg(F.count(F.lit(1)).alias("n"))
 
 
