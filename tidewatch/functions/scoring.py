@@ -19,6 +19,14 @@ READ, TURN, MARK, SCALE = 300, -0.74, 0.292, 15.0
 _words = re.compile("[a-z]+").findall
 
 
+def layered(*layers: dict[str, float], without: tuple[str, ...] = ()) -> dict[str, float]:
+    """One lexicon of several: later layers win, words in ``without`` go (jargon that is no mood, say)."""
+    out: dict[str, float] = {}
+    for layer in layers:
+        out |= {w.lower(): float(v) for w, v in layer.items()}
+    return {w: v for w, v in out.items() if w not in without}
+
+
 def score_text(text: str | None, lexicon: dict[str, float] = LEXICON) -> float:
     """Compound score in [-1, 1] of the first 300 characters; blank or missing texts score 0. A negator turns the word after it; up to four
     exclamation marks push the sum on."""

@@ -98,11 +98,9 @@ def euphoria_alerts(spark, d):
 @query(f"{SBASE}, {det_sql('o1 o2 o3 o4 e5')}, br AS (SELECT day, entity, count(*) FILTER (s > 0) AS breadth FROM (SELECT s.day, e.entity, e.source, sum(coalesce(n, 0)) OVER (PARTITION BY e.entity, e.source ORDER BY s.day ROWS 6 PRECEDING) AS s FROM sspine s CROSS JOIN (SELECT DISTINCT entity, source FROM sc) e LEFT JOIN (SELECT day, entity, source, count(*) AS n FROM sc GROUP BY ALL) c USING (day, entity, source)) GROUP BY ALL) SELECT entity, day, o1, o2, o3, o4, e5 AS o5, onset AS onset_score, round(hype_raw, 8) AS hype_raw, breadth FROM det JOIN br USING (entity, day)")
 def onset_features(spark, d):
     """Bank of five ranks, their mean, and the number of sources that posted within seven days."""
-    posts = scored(spark, d)
-    sources = posts.groupBy("day", "entity").agg(*(F.count_if(F.col("source") == s).alias(s) for s in "ANR"))
-    wide = C.on_spine(sources, C.day_span(posts), zero=list("ANR"))
-    breadth = sum(((F.sum(s).over(W.trailing(7)) > 0).cast("long") for s in "ANR"), F.lit(0).cast("long"))
-    b = wide.select("day", "entity", breadth.alias("breadth"))
+    from tidewatch.operators.desk import source_breadth
+
+    b = source_breadth(scored(spark, d).select("day", "entity", "source")).select("day", "entity", "breadth")
     f = detector(spark, d).select("entity", "day", *(F.col(c).alias(f"o{k}") for k, c in enumerate(D.ONSET, 1)), F.col("onset").alias("onset_score"), F.round("hype_raw", 8).alias("hype_raw"))
     return f.join(b, ["day", "entity"])
 

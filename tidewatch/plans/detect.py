@@ -135,12 +135,12 @@ def direction_flips(spark, d):
 PEAK = "c AS (SELECT entity, day, px, max(px) OVER (PARTITION BY entity ORDER BY day ROWS BETWEEN 21 PRECEDING AND 21 FOLLOWING) AS top, count(px) OVER (PARTITION BY entity ORDER BY day ROWS BETWEEN 21 PRECEDING AND 21 FOLLOWING) AS n, min(px) OVER (PARTITION BY entity ORDER BY day ROWS 120 PRECEDING) AS low, count(px) OVER (PARTITION BY entity ORDER BY day ROWS 120 PRECEDING) AS nl, min(px) OVER (PARTITION BY entity ORDER BY day ROWS BETWEEN CURRENT ROW AND 90 FOLLOWING) AS after, count(px) OVER (PARTITION BY entity ORDER BY day ROWS BETWEEN CURRENT ROW AND 90 FOLLOWING) AS na FROM px), cand AS (SELECT entity, day, px, row_number() OVER (PARTITION BY entity ORDER BY day) AS k FROM c WHERE n >= 22 AND px = top AND nl >= 60 AND px >= 1.25 * low AND na >= 5 AND after <= 0.85 * px), pw AS (SELECT entity, k, [{'day': day, 'px': px}] AS kept FROM cand WHERE k = 1 UNION ALL SELECT n.entity, n.k, CASE WHEN n.day - w.kept[-1].day >= 30 THEN list_append(w.kept, {'day': n.day, 'px': n.px}) WHEN n.px > w.kept[-1].px THEN list_append(w.kept[:-2], {'day': n.day, 'px': n.px}) ELSE w.kept END FROM pw w JOIN cand n ON n.entity = w.entity AND n.k = w.k + 1), pk0 AS (SELECT entity, arg_max(kept, k) AS kept FROM pw GROUP BY entity), pk AS (SELECT entity, unnest(kept).day AS peak, unnest(kept).px AS px FROM pk0)"
 
 
-def peaks(spark, d):
+def peaks(spark, d, boom: float = 0.25, bust: float = 0.15):
     """Centred maxima after a boom and before a bust; of peaks within 30 days the higher stays."""
     px = F.col("px")
     frame = lambda a, b: W.by_entity().rowsBetween(a, b)
     mid, past, ahead = frame(-21, 21), frame(-120, 0), frame(0, 90)
-    ok = (F.count(px).over(mid) >= 22) & (px == F.max(px).over(mid)) & (F.count(px).over(past) >= 60) & (px >= 1.25 * F.min(px).over(past)) & (F.count(px).over(ahead) >= 5) & (F.min(px).over(ahead) <= 0.85 * px)
+    ok = (F.count(px).over(mid) >= 22) & (px == F.max(px).over(mid)) & (F.count(px).over(past) >= 60) & (px >= (1 + boom) * F.min(px).over(past)) & (F.count(px).over(ahead) >= 5) & (F.min(px).over(ahead) <= (1 - bust) * px)
     found = filled_prices(spark, d).withColumn("ok", ok).where("ok").groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("day", "px"))).alias("all"))
 
     def fold(kept, x):
