@@ -37,7 +37,7 @@ def test_rank_ties_and_nulls(spark):
 
     values = [1.0, 2.0, None, 2.0, 0.0, -0.0, 2.0]
     s = spark.createDataFrame([(on(k), "a", v) for k, v in enumerate(values)], "day date, entity string, x double")
-    got = [r.p for r in s.withColumn("p", W.pct_rank(F.col("x"), 4, 2)).orderBy("day").collect()]
+    got = [r.p for r in W.pct_ranks(s, {"p": "x"}, 4, 2).orderBy("day").collect()]
 
     def want(k):
         past = [v for v in values[max(0, k - 3) : k + 1] if v is not None]

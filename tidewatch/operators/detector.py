@@ -53,10 +53,9 @@ def ranked(frame: DataFrame, rules: Rules = Rules(), window: int = 365, least: i
 
     Values are rounded before they are ranked, so that equal shares stay equal whatever order they were added in.
     """
-    rank = lambda c: W.pct_rank(F.col(c), window, least)
     names = {"e1": "share", "e2": "bull28", "e3": "rise28", "e5": "convex", "o1": "above", "o2": "hype_raw", "o3": "turn14", "o4": "rise14"}
     frame = frame.withColumns({f"r_{k}": F.round(v, 6) for k, v in names.items()})
-    frame = frame.withColumns({k: rank(f"r_{k}") for k in names})
+    frame = W.pct_ranks(frame, {k: f"r_{k}" for k in names}, window, least)
     frame = frame.withColumn("e2", F.col("e2") * F.coalesce(F.col("persist") >= rules.persistence, F.lit(False)).cast("double"))
     yes = lambda c: F.coalesce(c, F.lit(False))
     return frame.withColumns({

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+from collections import deque
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,16 +70,41 @@ def ewm_z(s: Column, day_number: Column, half_life: float = HALF_LIFE, least: in
     return at_least(F.when(~constant & (variance > 0), (s - mean) / F.sqrt(variance)), s, w, least)
 
 
-def pct_rank(x: Column, n: int = 365, least: int = 180) -> Column:
-    """Rank of today among the last n days as a share, ties averaged.
+def pct_ranks(frame: DataFrame, names: dict[str, str], n: int = 365, least: int = 180) -> DataFrame:
+    """frame (entity, day, ...) with, for each out: column of ``names``, the rank of today among the last n days as a share, ties averaged; null
+    where today has no value or the days hold fewer than ``least``.
 
-    The frame is sorted once and searched from either end: no lambda runs per element.
+    One Arrow pass over each entity's days in order keeps the window sorted as values come and go, instead of sorting it anew every day.
     """
-    first = lambda past: F.array_position(past, x)
-    of = lambda past: (F.size(past) + first(past) - first(F.reverse(past)) + 1) / 2 / F.size(past)
-    # bound to a variable, so that the frame is sorted once
-    rank = F.element_at(F.transform(F.array(F.sort_array(F.collect_list(x).over(trailing(n)))), of), 1)
-    return F.when((F.count(x).over(trailing(n)) >= least) & x.isNotNull(), rank)
+    import pyarrow as pa
+
+    columns = list(names.values())
+
+    def run(batches):
+        entity, state = None, []
+        for batch in batches:
+            at = batch.schema.get_field_index("entity")
+            values = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
+            out: list[list] = [[] for _ in columns]
+            for k, e in enumerate(batch.column(at).to_pylist()):
+                if e != entity or not state:
+                    entity, state = e, [(deque(), []) for _ in columns]
+                for (past, order), column, found in zip(state, values, out, strict=True):
+                    x = column[k]
+                    past.append(x)
+                    if x is not None:
+                        insort(order, x)
+                    if len(past) > n and (old := past.popleft()) is not None:
+                        del order[bisect_left(order, old)]
+                    if x is None or len(order) < least:
+                        found.append(None)
+                    else:
+                        lo = bisect_left(order, x)
+                        found.append((lo + (bisect_right(order, x, lo) - lo + 1) / 2) / len(order))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(f, pa.float64()) for f in out)], names=[*batch.schema.names, *names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema) + "".join(f", `{k}` double" for k in names)
+    return frame.repartition("entity").sortWithinPartitions("entity", "day").mapInArrow(run, schema)
 
 
 def convexity_weights(n: int = 60) -> list[float]:

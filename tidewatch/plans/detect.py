@@ -31,7 +31,7 @@ RANK = RANK.replace("num AS (SELECT *,", "num AS (SELECT day, entity, round(shar
 
 def ranked_share(spark, d):
     s = share(spark, d).withColumn("share", F.round("share", 6))
-    return s.withColumn("rank", W.pct_rank(F.col("share")))
+    return W.pct_ranks(s, {"rank": "share"})
 
 
 @query(f"{BASE}, {RANK} SELECT day, entity, round(rank, 6) AS rank FROM pr")
