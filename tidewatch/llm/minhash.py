@@ -313,9 +313,11 @@ def prefix_links(rest: DataFrame, held: DataFrame, similarity: float) -> DataFra
     def tokens(batches: Iterator) -> Iterator:
         for batch in batches:
             sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(2)]
-            node, own = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), [len(x) for x in sets]) for c in range(2))
-            token = np.concatenate([*sets, np.zeros(0, np.uint32)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(own), pa.array(token)], names=["node", "own", "token"])
+            node, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
+            for lo, hi in chunks(np.r_[0, np.cumsum([len(x) for x in sets])], 200_000):
+                size = [len(x) for x in sets[lo:hi]]
+                rows = [np.repeat(node[lo:hi], size), np.repeat(own[lo:hi], size), np.concatenate(sets[lo:hi]).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["node", "own", "token"])
 
     def counted(batches: Iterator) -> Iterator:
         for batch in batches:
