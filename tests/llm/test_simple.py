@@ -20,6 +20,11 @@ def test_word_ids_equal_tokenizer():
     texts = [x or "" for x in ODD] + ["".join(rng.choices(letters, k=rng.randrange(1, 120))) for _ in range(800)]
     for t in texts:
         assert np.frombuffer(mine(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    together = packing.WordIds(packing.vocabulary())
+    together.KEPT = 20  # what is kept starts anew all the time
+    for k in range(0, len(texts), 7):
+        assert together.many(texts[k : k + 7]) == [mine(t) for t in texts[k : k + 7]]
+    assert together.many([]) == []
 
 
 @pytest.mark.parametrize("seed", range(4))

@@ -15,15 +15,16 @@ import functools
 import heapq
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import durable, ranked
+from tidewatch.llm.common import chunks, durable, ranked, utf8
 
 MAX_TOKENS, END_ID = 4096, 1
+GROUP = 25_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -44,7 +45,8 @@ class WordIds:
 
     WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
     OTHER = "[^\t\n\r\x20-\x7e\xa1-įı-ňŊ-ž]"
-    KEPT = 400_000
+    KEPT = 600_000
+    MARKS = frozenset(".,;:!?")
 
     def __init__(self, path: str):
         import os
@@ -62,29 +64,48 @@ class WordIds:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
 
-    def _learn(self, runs: list[str]) -> None:
-        parts = {r: self.split(r) for r in runs}
+    def _learn(self, runs: Iterable[str]) -> None:
+        parts, ended = {}, []
+        for r in runs:
+            # a mark after a letter is a word of its own, so the run without it and the mark are looked up
+            if len(r) > 1 and r[-1] in self.MARKS and r[-2].isalpha():
+                ended.append(r)
+                if r[:-1] not in self.runs:
+                    parts[r[:-1]] = None
+                if r[-1] not in self.runs:
+                    parts[r[-1]] = None
+            else:
+                parts[r] = None
+        for r in parts:
+            parts[r] = [r] if r.isalpha() else self.split(r)
         new = list(dict.fromkeys(w for words in parts.values() for w in words if w not in self.words))
         if new:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
             raw, stops = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             self.words.update(zip(new, (raw[i:j] for i, j in zip([0, *stops], stops, strict=False)), strict=True))
         for run, words in parts.items():
-            self.runs[run] = b"".join(map(self.words.__getitem__, words))
+            self.runs[run] = self.words[words[0]] if len(words) == 1 else b"".join(map(self.words.__getitem__, words))
+        for run in ended:
+            self.runs[run] = self.runs[run[:-1]] + self.runs[run[-1]]
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if "<|" in text or self.other(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        runs = text.lower().split()
-        new = [r for r in set(runs) if r not in self.runs]
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The same for several texts, whose new words are encoded in one call."""
+        runs = [None if "<|" in t or self.other(t) else t.lower().split() for t in texts]
+        distinct = set().union(*(r for r in runs if r))
+        new = distinct.difference(self.runs)
         if new:
-            for kept in (self.runs, self.words):
-                if len(kept) > self.KEPT:
-                    kept.clear()
-                    new = list(set(runs))
+            if len(self.words) > self.KEPT:
+                self.words.clear()
+            if len(self.runs) > self.KEPT:
+                self.runs.clear()
+                new = distinct
             self._learn(new)
-        return b"".join(map(self.runs.__getitem__, runs))
+        known = self.runs.__getitem__
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if r is None else b"".join(map(known, r)) for t, r in zip(texts, runs, strict=True)]
 
 
 @functools.cache
@@ -99,12 +120,17 @@ def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKEN
 
     path, end = path or vocabulary(), np.array([END_ID], "<u4").tobytes()
 
+    def encoded(texts) -> Iterator[bytes]:
+        """Of about GROUP bytes of texts at a time; a longer one stands alone."""
+        ids_of, (_, bounds) = word_ids(path), utf8(texts)
+        for lo, hi in chunks(bounds, GROUP):
+            yield from ids_of.many([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
+
     def encode(batches: Iterator) -> Iterator:
-        ids_of = word_ids(path)
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = ids_of(text.as_py() or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * max_tokens)):
                     part = ids[at : at + 4 * max_tokens]
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
