@@ -105,3 +105,19 @@ def test_ewm_conviction_equals_its_query(spark):
     a = {(r.day, r.entity): r.z for r in registry.QUERIES["conviction_ewm"](spark, small).collect()}
     b = registry.QUERIES["conviction_set_ewm"](spark, small).collect()
     assert len(a) == len(b) and all((r.conviction_z is None) == (a[r.day, r.entity] is None) and (r.conviction_z is None or abs(r.conviction_z - a[r.day, r.entity]) < 6e-4) for r in b)
+
+
+def test_formats_and_appended_lines(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b\nc")], "id long, t string")
+    for name, back in (("x.parquet", spark.read.parquet), ("x.jsonl.gz", spark.read.json)):
+        stores.write_as(rows, f"{tmp_path}/{name}")
+        assert sorted(tuple(r) for r in back(f"{tmp_path}/{name}").collect()) == [(1, "a"), (2, "b\nc")]
+    stores.write_as(rows, f"{tmp_path}/x.csv")
+    assert {r.t for r in readers.read_csv(spark, [f"{tmp_path}/x.csv"]).collect()} == {"a", "b\nc"}
+    with pytest.raises(ValueError):
+        stores.write_as(rows, f"{tmp_path}/x.txt")
+    assert [stores.append_lines(r, f"{tmp_path}/lines", "id") for r in (rows, rows, rows.unionByName(spark.createDataFrame([(3, "d"), (3, "d")], "id long, t string")))] == [2, 0, 1]
+    counts = spark.createDataFrame([("a ", on(0), 5), ("b", on(0), 3), ("c", on(-90), 9)], "entity string, day date, n long")
+    more = spark.createDataFrame([("?",), ("",), ("z",), ("gone",)], "symbol string")
+    out = desk.symbols_to_price(counts, [more], 1, excluded=spark.createDataFrame([("GONE",)], "symbol string"))
+    assert sorted(r.symbol for r in out.collect()) == ["A", "C", "Z"]

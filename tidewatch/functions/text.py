@@ -55,8 +55,11 @@ def themes(posts: DataFrame, keywords: DataFrame, text: str = "t") -> DataFrame:
     k = keywords.select("theme", "keyword", first.alias("w"), F.col("keyword").rlike(r"[ .\-]").alias("phrase"))
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
     plain = posts.select("id", F.explode(tokens).alias("keyword")).join(k.where("NOT phrase"), "keyword").select("id", "theme")
-    # a phrase may begin inside a word: it is looked up by every ending of a word
-    endings = F.array_distinct(F.flatten(F.transform(tokens, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substr(w, i)))))
+    # a phrase may begin inside a word: it is looked up by the endings of words that are as long as some phrase's first word
+    lengths = sorted(r[0] for r in k.where("phrase").select(F.length("w")).distinct().collect())  # at most the longest word's length
+    if not lengths:
+        return plain.distinct()
+    endings = F.array_distinct(F.flatten(F.transform(tokens, lambda w: F.array_compact(F.array(*(F.when(F.length(w) >= n, F.right(w, F.lit(n))) for n in lengths))))))
     some = posts.select("id", F.lower(text).alias("_t"), F.explode(endings).alias("w"))
     inside = some.join(k.where("phrase"), "w").where(F.contains("_t", "keyword")).select("id", "theme")
     return plain.unionByName(inside).distinct()

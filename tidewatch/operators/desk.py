@@ -61,15 +61,16 @@ def resolve_anchors(chain: DataFrame, priced: DataFrame) -> DataFrame:
     return chain.join(priced, "symbol", "left_semi").groupBy("theme").agg(F.min(F.struct("pos", "symbol"))["symbol"].alias("anchor"))
 
 
-def symbols_to_price(counts: DataFrame, more: list[DataFrame], most: int, days: int = 60) -> DataFrame:
-    """counts (entity, day, n): the ``most`` named over all days and over the last ones, and the symbols of further frames; blanks and the
-    placeholder "?" go."""
+def symbols_to_price(counts: DataFrame, more: list[DataFrame], most: int, days: int = 60, excluded: DataFrame | None = None) -> DataFrame:
+    """counts (entity, day, n): the ``most`` named over all days and over the last ones, and the symbols of further frames; blanks, the
+    placeholder "?" and excluded symbols (symbol) go."""
     top = counts.agg(F.date_sub(F.max("day"), days).alias("_from"))
     loud = lambda c: c.groupBy("entity").agg(F.sum("n").alias("s")).orderBy(F.desc("s"), "entity").limit(most).select(F.col("entity").alias("symbol"))
     out = loud(counts).unionByName(loud(counts.join(F.broadcast(top)).where("day >= _from")))
     for frame in more:
         out = out.unionByName(frame.select("symbol"))
-    return out.select(F.upper(F.trim("symbol")).alias("symbol")).where("symbol NOT IN ('', '?')").distinct()
+    out = out.select(F.upper(F.trim("symbol")).alias("symbol")).where("symbol NOT IN ('', '?')").distinct()
+    return out.join(excluded, "symbol", "left_anti") if excluded is not None else out
 
 
 def robustness(returns: DataFrame, least: int) -> DataFrame:

@@ -141,6 +141,31 @@ def copy_store(spark: SparkSession, source: str, target: str) -> list[str]:
     return done
 
 
+def write_as(frame: DataFrame, path: str) -> None:
+    """Parquet, CSV with a header, or JSON lines, as the path's ending says; .gz or .zst compresses the text formats."""
+    packed = "gzip" if path.endswith(".gz") else "zstd" if path.endswith(".zst") else "none"
+    name = path.removesuffix(".gz").removesuffix(".zst")
+    if name.endswith(".parquet"):
+        frame.write.mode("errorifexists").parquet(path)
+    elif name.endswith(".csv"):
+        frame.write.option("header", True).option("escape", '"').option("compression", packed).csv(path)
+    elif name.endswith((".jsonl", ".ndjson", ".json")):
+        frame.write.option("compression", packed).json(path)
+    else:
+        raise ValueError(f"no format for {path}")
+
+
+def append_lines(new: DataFrame, folder: str, key: str) -> int:
+    """Records as compressed JSON lines beside those of the folder, without those whose key it has. Returns how many came."""
+    spark = new.sparkSession
+    fresh = new.dropDuplicates([key])
+    if any(n.startswith("part-") for n, *_ in Files(spark, folder).listed(folder)):
+        fresh = fresh.join(spark.read.schema(new.schema).json(folder).select(key), key, "left_anti").select(*new.columns)
+    before = spark.read.schema(new.schema).json(folder).count() if Files(spark, folder).exists(folder) else 0
+    fresh.write.mode("append").option("compression", "gzip").json(folder)
+    return spark.read.schema(new.schema).json(folder).count() - before
+
+
 def newest(rows: DataFrame, by: str, most: int, key: str) -> DataFrame:
     """The newest ``most`` rows of a ledger (that is its point); ties go to the greater key."""
     return rows.orderBy(F.desc(by), F.desc(key)).limit(most)

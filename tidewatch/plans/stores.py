@@ -173,6 +173,25 @@ def stream_messages(spark, d):
     return m.select("id", "day", "author", "selftext", author_label(F.col("label")).alias("own_score"))
 
 
+@query("SELECT 'e' || event_id AS id, ts::DATE AS day, 'reddit' AS source FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 'st_' || event_id, ts::DATE, 'stream' FROM events WHERE event_id % 3 = 1 UNION ALL SELECT 'x_' || event_id, ts::DATE, 'tweets' FROM events WHERE event_id % 3 = 2")
+def collected_posts(spark, d):
+    """Three collectors, one frame of posts: each source's own reader, the same columns, one row an id (deliveries overlap)."""
+    e = read(spark, d, "events")
+    id_, iso = F.col("event_id").cast("string"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss").alias("created_at")
+    body = F.col("event_type").alias("body")
+    parts = [
+        ("reddit", R.third_party(e.where("event_id % 3 = 0").select(F.to_json(F.struct(F.concat(F.lit("e"), id_).alias("id"), iso, F.col("event_type").alias("title"))).alias("raw")))),
+        ("stream", R.messages(e.where("event_id % 3 = 1").select(F.to_json(F.struct(id_.alias("id"), iso, body)).alias("raw")))),
+        ("tweets", R.tweets(e.where("event_id % 3 = 2").select(id_.alias("id"), iso, F.col("event_type").alias("text")), "rows")),
+    ]
+    out = None
+    for name, posts in parts:
+        rows = R.conform(posts.withColumn("source", F.lit(name)), "id string, day date, source string")
+        again = rows.where(F.xxhash64("id") % 4 == 0)
+        out = rows.unionByName(again) if out is None else out.unionByName(rows).unionByName(again)
+    return A.first_seen(out, ["id"], ["day", "source"]).select("id", "day", "source")
+
+
 @query("SELECT ['embeds', 'rows', 'api', 'engagement'][event_id % 4 + 1] AS dataset, 'x_' || event_id AS id, ts::DATE AS day, CASE WHEN event_id % 4 != 1 THEN 'u' || user_id END AS author, event_type AS title, CASE event_id % 4 WHEN 2 THEN 3 WHEN 3 THEN 7 ELSE 0 END::INT AS score FROM events")
 def tweet_posts(spark, d):
     """Four tweet datasets, each by its own columns, as posts."""
