@@ -18,7 +18,8 @@ def conviction(daily: DataFrame, normalise: bool = False, baseline: str = "ewm",
     baseline is exponentially weighted ("ewm") or the last 84 days ("rolling")."""
     if baseline not in ("ewm", "rolling"):
         raise ValueError(f"no baseline {baseline}")
-    f = daily.select("day", "entity", "n", "bp")
+    # pressure is a count of posts: rounded, so that its sums are exact in any order
+    f = daily.select("day", "entity", "n", F.round("bp", 9).alias("bp"))
     if normalise:
         total = f.groupBy("day").agg(F.sum("n").alias("total"))  # one row a day
         f = f.join(total, "day").withColumn("total", F.when(F.col("total") >= MIN_DAY_TOTAL, F.col("total")))

@@ -95,6 +95,22 @@ def euphoria_alerts(spark, d):
     return D.alerts(detector(spark, d), THIN)
 
 
+DENSE = D.Rules()
+
+
+@query(f"{SBASE}, {det_sql(rules=DENSE)} SELECT entity, day, e1, e2, e3, e5, level, fade, hype, covered FROM det")
+def euphoria_level_dense(spark, d):
+    """The level under the operator's own gates, which are those for dense series."""
+    f = D.ranked(D.features(crowd(spark, d)), DENSE)
+    return f.select("entity", "day", *D.PARTS, "level", "fade", "hype", "covered")
+
+
+@query(f"{SBASE}, {det_sql(rules=DENSE)}, trig AS (SELECT entity, day FROM det WHERE {trigger_sql(DENSE)}), {spacing_sql('trig', ['entity'], 21, 'alert')} SELECT entity, day FROM alert")
+def euphoria_alerts_dense(spark, d):
+    """Alerts under the same gates; on thin tables there are none."""
+    return D.alerts(D.ranked(D.features(crowd(spark, d)), DENSE), DENSE)
+
+
 @query(f"{SBASE}, {det_sql('o1 o2 o3 o4 e5')}, br AS (SELECT day, entity, count(*) FILTER (s > 0) AS breadth FROM (SELECT s.day, e.entity, e.source, sum(coalesce(n, 0)) OVER (PARTITION BY e.entity, e.source ORDER BY s.day ROWS 6 PRECEDING) AS s FROM sspine s CROSS JOIN (SELECT DISTINCT entity, source FROM sc) e LEFT JOIN (SELECT day, entity, source, count(*) AS n FROM sc GROUP BY ALL) c USING (day, entity, source)) GROUP BY ALL) SELECT entity, day, o1, o2, o3, o4, e5 AS o5, onset AS onset_score, round(hype_raw, 8) AS hype_raw, breadth FROM det JOIN br USING (entity, day)")
 def onset_features(spark, d):
     """Bank of five ranks, their mean, and the number of sources that posted within seven days."""

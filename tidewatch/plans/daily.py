@@ -134,6 +134,12 @@ def mention_share(spark, d):
     return share(spark, d).select("day", "entity", r(F.col("share")).alias("share"))
 
 
+@query(f"{BASE}, {SHARE.replace('>= 3 THEN', '>= 30 THEN')} SELECT day, entity, round(share, 4) + 0.0 AS share FROM share")
+def mention_share_30(spark, d):
+    """With the floor for dense series: days of under 30 posts have no share."""
+    return share(spark, d, 30).select("day", "entity", r(F.col("share")).alias("share"))
+
+
 @query(f"{BASE}, {SHARE}, dv AS (SELECT day, entity, share - lag(share) OVER (PARTITION BY entity ORDER BY day) AS v FROM share) SELECT day, entity, round(avg(v) OVER (PARTITION BY entity ORDER BY day ROWS 4 PRECEDING), 4) + 0.0 AS change FROM dv")
 def chatter_derivative(spark, d):
     v = share(spark, d).withColumn("v", W.delta(F.col("share")))
@@ -152,14 +158,27 @@ def top_trends(spark, d):
     return A.daily_counts(scored(spark, d)).groupBy("entity").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "entity").limit(10)
 
 
-@query(f"{SBASE}, q AS (SELECT entity FROM sent GROUP BY entity HAVING sum(n_posts) >= 100), p AS (SELECT DISTINCT entity FROM px0) SELECT entity, sum(n_posts)::BIGINT AS n FROM sent SEMI JOIN q USING (entity) SEMI JOIN p USING (entity) GROUP BY entity ORDER BY n DESC, entity LIMIT 25")
-def single_name_universe(spark, d):
+_NAMES = "q AS (SELECT entity FROM sent GROUP BY entity HAVING sum(n_posts) >= {floor}), p AS (SELECT DISTINCT entity FROM px0) SELECT entity, sum(n_posts)::BIGINT AS n FROM sent SEMI JOIN q USING (entity) SEMI JOIN p USING (entity) GROUP BY entity ORDER BY n DESC, entity LIMIT 25"
+
+
+def largest_names(spark, d, floor: int):
+    """The 25 most named that have a price and that many posts; ties by name."""
     from tidewatch.sources.tables import prices
 
-    total = A.daily_counts(scored(spark, d)).groupBy("entity").agg(F.sum("n").alias("n")).where("n >= 100")
+    total = A.daily_counts(scored(spark, d)).groupBy("entity").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
     return total.join(prices(spark, d).select("entity").distinct(), "entity", "left_semi").orderBy(F.desc("n"), "entity").limit(25)
 
 
+@query(f"{SBASE}, {_NAMES.format(floor=100)}")
+def single_name_universe(spark, d):
+    return largest_names(spark, d, 100)
+
+
+@query(f"{SBASE}, {_NAMES.format(floor=3000)}")
+def single_name_universe_3000(spark, d):
+    return largest_names(spark, d, 3000)
+
+
 ZQ = "s7 AS (SELECT day, entity, n, sum(n) OVER (PARTITION BY entity ORDER BY day ROWS 6 PRECEDING) AS s FROM wide), zz AS (SELECT day, entity, n, s, CASE WHEN count(s) OVER w >= 28 THEN (s - avg(s) OVER w) / nullif(stddev_samp(s) OVER w, 0) END AS z FROM s7 WINDOW w AS (PARTITION BY entity ORDER BY day ROWS 83 PRECEDING))"
 
 

@@ -40,18 +40,18 @@ def _ewm_sql(table: str, x: str, out: str, half_life: int = 42) -> str:
 
 #: the pressure and posts of a day as a share of all its scored posts, where there are ten
 SET = f"""tot AS (SELECT day, CASE WHEN sum(n) >= 10 THEN sum(n) END AS total FROM swide GROUP BY day),
-nr AS (SELECT day, entity, n, bp, coalesce(100 * bp / total, 0) AS sbp, coalesce(100.0::DOUBLE * n / total, 0) AS sn FROM swide JOIN tot USING (day)),
+nr AS (SELECT day, entity, n, bp, coalesce(100 * bp / total, 0) AS sbp, coalesce(100.0::DOUBLE * n / total, 0) AS sn FROM (SELECT day, entity, n, round(bp, 9) AS bp FROM swide) JOIN tot USING (day)),
 ns AS (SELECT *, sum(sbp) OVER w AS sbp7, sum(sn) OVER w AS sn7, sum(bp) OVER w AS bp7, sum(n) OVER w AS n7 FROM nr WINDOW w AS (PARTITION BY entity ORDER BY day ROWS 6 PRECEDING)),
 nz AS (SELECT *, bp7 / nullif(n7, 0) AS share, CASE WHEN count(sbp7) OVER w >= 28 THEN (sbp7 - avg(sbp7) OVER w) / nullif(stddev_samp(sbp7) OVER w, 0) END AS cz,
 CASE WHEN count(sn7) OVER w >= 28 THEN (sn7 - avg(sn7) OVER w) / nullif(stddev_samp(sn7) OVER w, 0) END AS az FROM ns WINDOW w AS (PARTITION BY entity ORDER BY day ROWS 83 PRECEDING)),
 nc AS (SELECT *, share - lag(share, 5) OVER (PARTITION BY entity ORDER BY day) AS chg FROM nz)"""
 
 
-@query(f"{SBASE}, {SET} SELECT day, entity, n::BIGINT AS n_posts, round(bp, 4) + 0.0 AS bull_pressure, round(cz, 3) + 0.0 AS conviction_z, round(az, 3) + 0.0 AS attention_z, round(share, 4) + 0.0 AS share, round(chg, 4) + 0.0 AS sent_change, coalesce(az > 1 AND chg < -0.10, false) AS crowded_top, coalesce(az > 1 AND chg > 0.10, false) AS swarm FROM nc")
+@query(f"{SBASE}, {SET} SELECT day, entity, n::BIGINT AS n_posts, round(bp, 4) + 0.0 AS bull_pressure, round(cz, 3) + 0.0 AS conviction_z, round(az, 3) + 0.0 AS attention_z, round(share, 8) + 0.0 AS share, round(chg, 8) + 0.0 AS sent_change, coalesce(az > 1 AND chg < -0.10, false) AS crowded_top, coalesce(az > 1 AND chg > 0.10, false) AS swarm FROM nc")
 def conviction_set(spark, d):
     """The eight columns, normalised by the day's posts, against a rolling baseline."""
     c = D.conviction(swide(spark, d), normalise=True, baseline="rolling")
-    return c.select("day", "entity", "n_posts", r(F.col("bull_pressure")).alias("bull_pressure"), r(F.col("conviction_z"), 3).alias("conviction_z"), r(F.col("attention_z"), 3).alias("attention_z"), r(F.col("share")).alias("share"), r(F.col("sent_change")).alias("sent_change"), "crowded_top", "swarm")
+    return c.select("day", "entity", "n_posts", r(F.col("bull_pressure")).alias("bull_pressure"), r(F.col("conviction_z"), 3).alias("conviction_z"), r(F.col("attention_z"), 3).alias("attention_z"), r(F.col("share"), 8).alias("share"), r(F.col("sent_change"), 8).alias("sent_change"), "crowded_top", "swarm")
 
 
 @query()
