@@ -27,6 +27,38 @@ def test_evaluation(spark):
     assert (got.precision, got.threshold) == (pytest.approx(best[0]), best[2]) and got.recall == pytest.approx(best[1] / pos)
 
 
+def test_a_score_is_worked_out_once(spark):
+    """Read for the cuts, the starts and the sums, and compared with each cut, but made once a row."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(x):
+        calls.add(1)
+        return float(x * 37 % 101)
+
+    rows = spark.range(500).select(score("id").alias("score"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    assert X.evaluate(rows).first().auroc is not None and calls.value == 500
+
+
+def test_noise_is_drawn_once_for_all_scales(spark, tmp_path):
+    from tidewatch.plans.registry import QUERIES
+
+    df = QUERIES["perturbation_curve"](spark, "/root/testdata/sf0.001")
+    assert "md5" not in df._jdf.queryExecution().optimizedPlan().toString()  # it lies before what is written
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
+    assert QUERIES["perturbation_curve"](spark, str(tmp_path)).count() == 0  # as the SQL, which has no groups then
+
+
+def test_evaluation_by_groups(spark):
+    rng = random.Random(5)
+    rows = [(g, round(rng.gauss(m, s), 1), int(rng.random() < 0.3)) for g, m, s in (("a", 0, 1), (None, 500, 40), ("c", -3, 0)) for _ in range(400)]
+    f = spark.createDataFrame(rows, "g string, score double, y int")
+    got = {r.g: tuple(r)[1:] for r in X.evaluate(f, by=("g",)).collect()}
+    assert set(got) == {"a", None, "c"}
+    for g, have in got.items():
+        assert have == pytest.approx(tuple(X.evaluate(f.where(F.col("g").eqNullSafe(F.lit(g)))).first()))
+
+
 def test_models_learn_what_there_is(spark):
     rng = random.Random(3)
     rows = [(k, a, b, int((a > 0.5) != (b > 0.5))) for k in range(400) for a, b in [(rng.random(), rng.random())]]

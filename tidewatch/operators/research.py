@@ -44,21 +44,21 @@ def uniform(key: Column, seed: int | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", key, F.lit(str(seed)))), 1, 8), 16, 10).cast("long") / 4294967296.0
 
 
-def curve(scored: DataFrame, label: str = "y") -> DataFrame:
-    """Per distinct score: positives and rows at or above it (tp, k), rows and positives in all, and the mean rank from below."""
-    g = W.running_sums(scored.groupBy(F.col("score").cast("double").alias("score")).agg(F.sum(label).alias("p"), F.count(F.lit(1)).alias("n")), "score", ["p", "n"])
-    g = g.join(F.broadcast(g.agg(F.sum("p").alias("pos"), F.sum("n").alias("tot"))))  # one row of totals
-    return g.select("score", "p", "n", "pos", "tot", (F.col("pos") - F.col("run_p") + F.col("p")).alias("tp"), (F.col("tot") - F.col("run_n") + F.col("n")).alias("k"), (F.col("run_n") - (F.col("n") - 1) / 2).alias("rank"))
+def curve(scored: DataFrame, label: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
+    """Per distinct score (within each ``by``): positives and rows at or above it (tp, k), rows and positives in all, and the mean rank from below."""
+    g = scored.groupBy(*by, F.col("score").cast("double").alias("score")).agg(F.sum(label).alias("p"), F.count(F.lit(1)).alias("n"))
+    g = W.running_sums(g, "score", ["p", "n"], by=by).withColumnsRenamed({"all_p": "pos", "all_n": "tot"})
+    return g.select(*by, "score", "p", "n", "pos", "tot", (F.col("pos") - F.col("run_p") + F.col("p")).alias("tp"), (F.col("tot") - F.col("run_n") + F.col("n")).alias("k"), (F.col("run_n") - (F.col("n") - 1) / 2).alias("rank"))
 
 
-def evaluate(scored: DataFrame, label: str = "y", recall: float = 0.05) -> DataFrame:
-    """One row: average_precision, auroc, and the threshold of the greatest precision among those that reach the recall, with both."""
-    c = curve(scored, label)
+def evaluate(scored: DataFrame, label: str = "y", recall: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (one for each ``by``): average_precision, auroc, and the threshold of the greatest precision among those that reach the recall, with both."""
+    c = curve(scored, label, by)
     pos, tot = F.first("pos"), F.first("tot")
     precision, reached = F.col("tp") / F.col("k"), F.col("tp") >= recall * F.col("pos")
     best = F.max(F.when(reached, F.struct(precision.alias("precision"), F.col("tp").alias("tp"), F.col("score").alias("threshold"))))
-    out = c.agg(F.sum(F.try_divide(F.col("p"), F.col("pos")) * precision).alias("average_precision"), F.try_divide(F.sum(F.col("p") * F.col("rank")) - pos * (pos + 1) / 2, pos * (tot - pos)).alias("auroc"), best.alias("b"), pos.alias("pos"))
-    return out.select("average_precision", "auroc", F.col("b.threshold").alias("threshold"), F.col("b.precision").alias("precision"), F.try_divide("b.tp", "pos").alias("recall"))
+    out = c.groupBy(*by).agg(F.sum(F.try_divide(F.col("p"), F.col("pos")) * precision).alias("average_precision"), F.try_divide(F.sum(F.col("p") * F.col("rank")) - pos * (pos + 1) / 2, pos * (tot - pos)).alias("auroc"), best.alias("b"), pos.alias("pos"))
+    return out.select(*by, "average_precision", "auroc", F.col("b.threshold").alias("threshold"), F.col("b.precision").alias("precision"), F.try_divide("b.tp", "pos").alias("recall"))
 
 
 def noised(rows: DataFrame, columns: list[str], scale: float, key: str, seed: int = 42) -> DataFrame:

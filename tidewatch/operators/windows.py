@@ -22,18 +22,31 @@ def trailing(n: int, *keys: str) -> WindowSpec:
     return by_entity(*keys).rowsBetween(-(n - 1), 0)
 
 
-def running_sums(rows: DataFrame, order: str, columns: list[str], ranges: int = 256) -> DataFrame:
-    """rows with run_<column>, the sum up to and with each row in a global order of distinct numbers. Quantiles cut the order into ranges, each
-    range is summed by itself and starts where the ones before it end, so no task has all rows."""
-    cuts = rows.agg(F.percentile_approx(order, F.lit([k / ranges for k in range(1, ranges)]), F.lit(100 * ranges))).first()[0] or []
-    cut = F.lit(sorted(set(cuts))) if cuts else F.array().cast("array<double>")
-    dealt = rows.withColumn("_range", F.size(F.filter(cut, lambda x: x < F.col(order))))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
-    starts = dealt.groupBy("_range").agg(*(F.sum(c).alias(f"_s{k}") for k, c in enumerate(columns)))
-    starts = starts.select("_range", *(F.coalesce(F.sum(f"_s{k}").over(before), F.lit(0)).alias(f"_b{k}") for k in range(len(columns))))
-    within = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = dealt.select("*", *(F.sum(c).over(within).alias(f"_r{k}") for k, c in enumerate(columns))).join(F.broadcast(starts), "_range")
-    return joined.select(*rows.columns, *((F.col(f"_b{k}") + F.col(f"_r{k}")).alias(f"run_{c}") for k, c in enumerate(columns)))
+def running_sums(rows: DataFrame, order: str, columns: list[str], ranges: int = 256, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows with run_<column>, the sum up to and with each row in a global order of numbers, distinct within each ``by``, and all_<column>, the
+    sum of all. Quantiles cut the order into ranges, each range is summed by itself and starts where the ones before it end, so no task has all rows.
+
+    The rows are written once: they are read for the cuts, the starts and the sums, and the optimizer would put the expression behind ``order``
+    into each comparison with a cut. The range is found by halving.
+    """
+    from tidewatch.operators.graph import _dir
+
+    _dir(rows.sparkSession)
+    rows = rows.checkpoint()
+    keys = [F.col(c).alias(f"_k{k}") for k, c in enumerate(by)]
+    same = [F.col(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate(by)]
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(order, F.lit([k / ranges for k in range(1, ranges)]), F.lit(100 * ranges)).alias("_cuts"))
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range((ranges - 1).bit_length()))))
+    below = F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.get("_cuts", at + step - 1) < F.col(order), at + step).otherwise(at))
+    dealt = rows.join(F.broadcast(cuts), same or None).select(*rows.columns, below.alias("_range"))
+    every = Window.partitionBy(*(f"_k{k}" for k in range(len(by))))  # over one row a range
+    before = every.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*keys, F.col("_range").alias("_at")).agg(*(F.sum(c).alias(f"_s{k}") for k, c in enumerate(columns)))
+    sums = ((F.coalesce(F.sum(f"_s{k}").over(before), F.lit(0)).alias(f"_b{k}"), F.sum(f"_s{k}").over(every).alias(f"all_{c}")) for k, c in enumerate(columns))
+    starts = starts.select(*(f"_k{k}" for k in range(len(by))), "_at", *(x for pair in sums for x in pair))
+    within = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = dealt.select("*", *(F.sum(c).over(within).alias(f"_r{k}") for k, c in enumerate(columns))).join(F.broadcast(starts), [*same, F.col("_range") == F.col("_at")])
+    return joined.select(*rows.columns, *((F.col(f"_b{k}") + F.col(f"_r{k}")).alias(f"run_{c}") for k, c in enumerate(columns)), *(f"all_{c}" for c in columns))
 
 
 def at_least(value: Column, column: Column, w: WindowSpec, n: int) -> Column:

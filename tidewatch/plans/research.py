@@ -67,13 +67,11 @@ g AS (SELECT scale, score, sum(y) AS p, count(*) AS n FROM s GROUP BY ALL), c AS
 SELECT scale, round(sum(p::DOUBLE / pos * (tp::DOUBLE / k)), 6) AS average_precision, round((sum(p * rank) - any_value(pos) * (any_value(pos) + 1) / 2.0) / (any_value(pos) * (any_value(tot) - any_value(pos))), 6) AS auroc FROM c GROUP BY scale""")
 def perturbation_curve(spark, d):
     """How precision falls as noise is added to a score; the draws are hashes, so every run has the same."""
-    e = read(spark, d, "events").select("event_id", "value", (F.col("event_type") == "purchase").cast("int").alias("y"))
-    out = None
-    for scale in (0.0, 20.0, 100.0):
-        noise = sum((X.uniform(F.col("event_id").cast("string"), f"42:{k}") - 0.5 for k in range(4)), F.lit(0.0))
-        row = X.evaluate(e.select(F.round(F.col("value") + scale * noise, 4).alias("score"), "y")).select(F.lit(scale).alias("scale"), *(F.round(c, 6).alias(c) for c in ("average_precision", "auroc")))
-        out = row if out is None else out.unionByName(row)
-    return out
+    noise = sum((X.uniform(F.col("event_id").cast("string"), f"42:{k}") - 0.5 for k in range(4)), F.lit(0.0))
+    e = read(spark, d, "events").select("value", (F.col("event_type") == "purchase").cast("int").alias("y"), noise.alias("noise"))
+    e = e.withColumn("scale", F.explode(F.lit([0.0, 20.0, 100.0])))  # one draw an event for all scales
+    scored = e.select("scale", F.round(F.col("value") + F.col("scale") * F.col("noise"), 4).alias("score"), "y")
+    return X.evaluate(scored, by=("scale",)).select("scale", *(F.round(c, 6).alias(c) for c in ("average_precision", "auroc")))
 
 
 #: rise to a peak and fall after it, in per cent
